@@ -1,10 +1,10 @@
 """Encoding long texts through a bounded cache of space-separated pieces.
 
 A byte-level BPE pre-tokenizer with the usual pattern (an optional single space
-before a run of letters, digits or other marks) never joins what stands before
-an isolated space with what follows it, so a text may be cut in front of every
-space that has no other space beside it and its pieces encoded apart.  Texts
-repeat their words; each worker encodes a piece once and looks it up later.
+before a run of letters, digits or other marks) always starts a match at a space
+that a mark follows, so a text may be cut in front of every such space and its
+pieces encoded apart.  Texts repeat their words; each worker encodes a piece once
+and looks it up later.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ import re
 from array import array
 from collections.abc import Callable
 
-_LONE_SPACE = re.compile(r"(?<! ) (?! )")
+_CUT = re.compile(r" (?=\S)")
+_NO_CUT = re.compile(r" (?:\s|\Z)")
 
 
 def split_pieces(text: str) -> list[str]:
     """``' '.join(result) == text``; every piece but the first owns the space before it."""
-    return text.split(" ") if "  " not in text else _LONE_SPACE.split(text)
+    return _CUT.split(text) if _NO_CUT.search(text) else text.split(" ")
 
 
 class PieceCache:

@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op9_byte_bpe
 from .exact import ORACLE_SQL as EXACT_SQL
 from .exact import op10_exact_dedup
 from .matroska import op8_matroska
+from .packing import op3_packing
 from .records import op2_token_records
+from .simhash import op6_simhash
+from .toxicity import op1_toxicity
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import op4_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_records": op2_token_records,
+    "op3_packing": op3_packing,
     "op4_warc_revisits": op4_warc_revisits,
+    "op6_simhash": op6_simhash,
     "op8_matroska": op8_matroska,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

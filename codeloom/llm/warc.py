@@ -110,7 +110,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, out = arrow_schema(HEADERS), None
-        path = f"{folder}/{TaskContext.get().partitionId():06d}.warc.gz"
+        path = f"{folder}/{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.warc.gz"  # rows name the file of their own attempt
         for batch in slices(batches):
             got = []
             if out is None:
