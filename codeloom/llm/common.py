@@ -112,3 +112,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a Spark DDL string of flat types."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(n, kinds[k]) for n, k in (x.strip().split(" ", 1) for x in ddl.split(","))])
+
+
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """A written copy of ``docs`` whose column ``ROW`` names each row, whatever its ids."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``numbered`` whose number is in ``kept`` (column row), without the number."""
+    return rows.join(kept.select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_of
+from .common import ROW, keep_rows, numbered, staged, table, text_of
 
 #: 1024 characters at least, then up to one of these letter pairs or 4096 characters; then what is left.
 CHUNK = r"(?s).{1024}(?:.{0,3070}?(?:an|en|er|he|in|io|ld|on|or|ri|st|ti)|.{0,3072})|.+"
@@ -27,11 +27,11 @@ def chunks_of(normal: F.Column) -> F.Column:
     return F.when(F.length(normal) <= 1024, F.array(normal)).otherwise(F.regexp_extract_all(normal, F.lit(CHUNK), F.lit(0)))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
+def recipes(docs: DataFrame, row: F.Column) -> DataFrame:
     """A written row per document: row, doc_id, n_points, text_sha256 and the digests of its chunks in order."""
-    normal = docs.select("doc_id", F.length(text_of("text")).alias("n_points"), F.translate(text_of("text"), WHITE, "").alias("normal"))
-    cut = normal.select("doc_id", "n_points", F.sha2("normal", 256).alias("text_sha256"), F.transform(chunks_of(F.col("normal")), lambda c: F.unhex(F.sha2(c, 256))).alias("digests"))
-    return staged(cut.select(F.monotonically_increasing_id().alias("row"), "*"), "recipes")
+    normal = docs.select(row.alias("row"), "doc_id", F.length(text_of("text")).alias("n_points"), F.translate(text_of("text"), WHITE, "").alias("normal"))
+    cut = normal.select("row", "doc_id", "n_points", F.sha2("normal", 256).alias("text_sha256"), F.transform(chunks_of(F.col("normal")), lambda c: F.unhex(F.sha2(c, 256))).alias("digests"))
+    return staged(cut, "recipes")
 
 
 def verified_chunks(docs: DataFrame) -> DataFrame:
@@ -43,9 +43,9 @@ def verified_chunks(docs: DataFrame) -> DataFrame:
     return checked.select("digest", F.when(F.col("n") > 1, F.raise_error(F.lit("two chunks share a digest"))).otherwise(F.xxhash64("digest")).cast("long").alias("seen"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for every row; see the module."""
-    made = recipes(docs)
+def row_groups(docs: DataFrame, row: F.Column) -> DataFrame:
+    """row, doc_id, keep_id, group_size, kept and text_sha256 for every row, which ``row`` names."""
+    made = recipes(docs, row)
     verified = staged(verified_chunks(docs), "verified")
     rows = made.select("row", F.posexplode("digests").alias("at", "digest"))
     known = rows.join(verified, "digest").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]).alias("recipe"))
@@ -53,7 +53,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id"), (-F.col("row")).alias("minus_row")))
     groups = staged(listed.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     both = listed.join(groups, "recipe")
-    return both.select("doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.minus_row")).alias("kept"), "text_sha256")
+    return both.select("row", "doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.minus_row")).alias("kept"), "text_sha256")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for every row; see the module."""
+    return row_groups(docs, F.monotonically_increasing_id()).drop("row")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay."""
+    rows = numbered(docs)
+    return keep_rows(rows, row_groups(rows, F.col(ROW)).where("kept"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

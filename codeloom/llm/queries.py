@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_byte_bpe
 from .exact import ORACLE_SQL as EXACT_SQL
 from .exact import op10_exact_dedup
+from .htmltree import op5_html_text
 from .matroska import op8_matroska
 from .packing import op3_packing
 from .records import op2_token_records
 from .simhash import op6_simhash
+from .suffix import op7_suffix_dedup
 from .toxicity import op1_toxicity
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import op4_warc_revisits
@@ -22,7 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op3_packing": op3_packing,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_matroska": op8_matroska,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,

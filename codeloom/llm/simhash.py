@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, staged, strings, table, text_of
+from .common import ROW, arrow_schema, keep_rows, numbered, slices, staged, strings, table, text_of
 from .components import components
 
 TILE = 8192
@@ -180,6 +180,16 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each component the one of least doc_id."""
+    rows = numbered(docs)
+    found = near_groups(rows.select(F.col(ROW).alias("doc_id"), "text"), width, radius).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    named = rows.select(F.col(ROW).alias("row"), "doc_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    kept = found.join(named, "row").groupBy("component").agg(best).select(F.col("best.row").alias("row"))
+    return keep_rows(rows, kept)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_groups(table(spark, sf_dir, "documents"))
