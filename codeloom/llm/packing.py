@@ -236,7 +236,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, wi
     fulls = rows.groupBy("task").agg(F.sum(F.floor(F.col("doc_tokens") / window)).alias("n"))
     full = fulls.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("task_full"))
     placed = rows.join(ranks, ["task", "tail"], "left").join(full, "task")
-    ordered = placed.select("path", "byte_at", "doc_id", "doc_tokens", "tail", (F.col("rank_in_task") + F.coalesce("rank_before", F.lit(0))).alias("rank"), (F.col("full_before") + F.col("task_full") + packed).alias("first_full")).repartition("path").sortWithinPartitions("path", "byte_at")
+    ordered = placed.select("path", "byte_at", "doc_id", "doc_tokens", "tail", (F.col("rank_in_task") + F.coalesce("rank_before", F.lit(0))).alias("rank"), (F.col("full_before") + F.col("task_full") + packed).alias("first_full")).repartition(max(1, fulls.count()), "path").sortWithinPartitions("path", "byte_at")  # a file per task: rows are short, their ids aren't
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, now, source, out, size = arrow_schema(PIECES), None, None, [], 0

@@ -151,7 +151,7 @@ def read_records(files: DataFrame, with_ids: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return files.select("path", "base").repartition("path").mapInArrow(read, ddl)
+    return files.select("path", "base").repartition(max(1, files.count()), "path").mapInArrow(read, ddl)
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:

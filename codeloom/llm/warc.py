@@ -145,7 +145,8 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
 def deduplicate(headers: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Rewrite the archives that ``headers`` describes with revisit records; returns (archive, records)."""
     decided = resolve(headers, min_bytes).select("archive", "at", "length", "key", "uri", "digest", "payload_bytes", "repeats", "refers_to", "refers_uri")
-    ordered = decided.repartition("archive").sortWithinPartitions("archive", "at")
+    n = max(1, headers.select("archive").distinct().count())
+    ordered = decided.repartition(n, "archive").sortWithinPartitions("archive", "at")  # as many as archives: rows are short, their work isn't
     ddl = "archive string, records long"
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, schema)
 
-    return archives.select("archive").repartition("archive").mapInArrow(read, RECORDS)
+    return archives.select("archive").repartition(max(1, archives.count()), "archive").mapInArrow(read, RECORDS)
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
