@@ -1,10 +1,356 @@
-"""The queries of the library and their DuckDB twins."""
+"""Queries over the standard tables, one per operator family, and their DuckDB twins.
+
+Documents stand for files (source is the root, lang the language), customers,
+orders, parts and suppliers for graph nodes, pages for routes and calls, events for
+commits and telemetry, conversations for memory, labels for facts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import guards, text
+from .operators import graph, knowledge, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TERMS = ["license", "the", "token"]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The stated query of the vector searches: the vector of id 0."""
+    return list(t(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+# ---- scalar functions ----
+
+
+@query("x1_stable_ids", "SELECT doc_id, sha1(concat(source, '::', lang, '::', CAST(doc_id AS VARCHAR))) AS id, sha1(text) AS content_hash FROM documents")
+def _(spark, d):
+    docs = t(spark, d, "documents")
+    return docs.select("doc_id", text.stable_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("id"), text.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("x4_tokenize", "SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9а-яё_/-]+'), lambda x: length(x) >= 2) AS w FROM documents)")
+def _(spark, d):
+    words = t(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+
+
+@query(
+    "x5_score_groups",
+    "SELECT doc_id, CAST(contains(lower(text), 'license') AS BIGINT) + CAST(contains(lower(text), 'the') AS BIGINT) + CAST(contains(lower(text), 'token') AS BIGINT) AS terms, CAST(contains(lower(text), 'license') AND contains(lower(text), 'version') AS BIGINT) + CAST(contains(lower(text), 'token') AND contains(lower(text), '=') AS BIGINT) AS groups FROM documents",
+)
+def _(spark, d):
+    c = F.col("text")
+    return t(spark, d, "documents").select("doc_id", text.score_text(c, TERMS).alias("terms"), text.score_groups(c, [["license", "version"], ["token", "="]]).alias("groups"))
+
+
+@query("x12_estimate_tokens", "SELECT doc_id, greatest(20, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tokens, CAST(1 + length(left(text, 400)) - length(replace(left(text, 400), chr(10), '')) AS BIGINT) AS line_at_400 FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"), text.line_number(F.col("text"), F.lit(400)).cast("long").alias("line_at_400"))
+
+
+@query("x13_excerpt", "SELECT doc_id, left(coalesce(list_filter(l, lambda x: contains(lower(x), 'license'))[1], l[1], ''), 280) AS excerpt FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents)")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.excerpt(F.col("text"), ["license"]).alias("excerpt"))
+
+
+@query("x11_route_keys", r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]+', '') AS path FROM pages),
+q AS (SELECT page_id, regexp_replace(path, '[?#].*$', '') AS path FROM p),
+r AS (SELECT page_id, regexp_replace(regexp_replace(path, '\$\{[^}]*\}|\{[^}]*\}|:[A-Za-z_][A-Za-z0-9_]*', ':param', 'g'), '/[0-9]+(/|\.|$)', '/:param\1', 'g') AS path FROM q),
+s AS (SELECT page_id, regexp_replace(path, '/+', '/', 'g') AS path FROM r)
+SELECT page_id, CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/$', '') END AS route FROM s""")
+def _(spark, d):
+    path = F.regexp_replace("url", "^[a-z]+://[^/]+", "")
+    return t(spark, d, "pages").select("page_id", text.route_key(path).alias("route"))
+
+
+@query("x17_near_duplicates", r"""
+WITH w AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS w FROM documents),
+f AS (SELECT lang, arg_min(w, doc_id) AS w0 FROM w GROUP BY lang)
+SELECT doc_id, least(len(w), len(w0)) > 0 AND len(list_intersect(w, w0)) >= 0.7 * least(len(w), len(w0)) AS near FROM w JOIN f USING (lang)""")
+def _(spark, d):
+    docs = t(spark, d, "documents")
+    first = docs.groupBy("lang").agg(F.min_by("text", "doc_id").alias("first_text"))
+    return docs.join(first, "lang").select("doc_id", text.near_duplicate(F.col("text"), F.col("first_text")).alias("near"))
+
+
+# ---- scans and filters ----
+
+
+@query("s3_overview", "SELECT source, lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL")
+def _(spark, d):
+    return t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+
+
+@query("s20_grep", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rn FROM l WHERE regexp_matches(line_text, '(?i)licen[cs]e'))
+SELECT doc_id, CAST(line AS BIGINT) AS line, left(line_text, 220) AS line_text FROM m WHERE rn <= 2 ORDER BY doc_id, line LIMIT 25""")
+def _(spark, d):
+    return search.grep(t(spark, d, "documents"), "licen[cs]e").withColumn("line", F.col("line").cast("long"))
+
+
+@query("a26_grep_counts", """
+SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text FROM documents) WHERE regexp_matches(line_text, '(?i)the') GROUP BY doc_id""")
+def _(spark, d):
+    return search.grep(t(spark, d, "documents"), "the", per_file=2**31 - 1, top=None).groupBy("doc_id").agg(F.count("*").alias("hits"))
+
+
+@query("f10_security_findings", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id, CAST(line AS BIGINT) AS line, 'bare-token' AS category FROM l WHERE regexp_matches(s, '(?i)\b(token|secret|password|passwd|api[_-]?key)\s*[=:]\s*["''][^"'']{8,}["'']') AND NOT regexp_matches(s, '(?i)example|placeholder|changeme|your[_-]|xxxx')
+UNION ALL SELECT doc_id, CAST(line AS BIGINT), 'sql-injection' FROM l WHERE regexp_matches(s, '(?i)(select|insert|update|delete)\b.*(\+|\$\{|\|\|)') AND NOT regexp_matches(s, '^\s*(//|#)')
+UNION ALL SELECT doc_id, CAST(line AS BIGINT), 'dangerous-eval' FROM l WHERE regexp_matches(s, '\b(eval|exec|system|shell_exec|passthru)\s*\(') AND NOT regexp_matches(s, '^\s*(//|#)')
+UNION ALL SELECT doc_id, CAST(line AS BIGINT), 'path-traversal' FROM l WHERE regexp_matches(s, '\.\./\.\./') AND NOT regexp_matches(s, '^\s*(//|#|import\b)')""")
+def _(spark, d):
+    line = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "s"))
+    return line.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.explode(guards.findings(F.col("s"))).alias("category"))
+
+
+# ---- search ----
+
+_SIM = "round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6)"
+
+
+@query("t1_vector_top", f"SELECT vec_id, {_SIM} AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 8")
+def _(spark, d):
+    return search.vector_top(t(spark, d, "embeddings"), first_vector(spark, d)).select("vec_id", "similarity")
+
+
+@query("t2_vector_top_roles", f"SELECT vec_id, label, {_SIM} AS similarity FROM embeddings WHERE label IN (1, 3, 5) ORDER BY similarity DESC, vec_id LIMIT 8")
+def _(spark, d):
+    return search.vector_top(t(spark, d, "embeddings").where(F.col("label").isin(1, 3, 5)), first_vector(spark, d)).select("vec_id", "label", "similarity")
+
+
+@query("t4_semantic_seeds", f"SELECT vec_id, similarity FROM (SELECT vec_id, {_SIM} AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 8) WHERE similarity >= 0.45 ORDER BY similarity DESC, vec_id LIMIT 3")
+def _(spark, d):
+    top = search.vector_top(t(spark, d, "embeddings"), first_vector(spark, d))
+    return top.where("similarity >= 0.45").orderBy(F.col("similarity").desc(), "vec_id").limit(3).select("vec_id", "similarity")
+
+
+@query("t3_hybrid_search", f"""
+WITH v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM (SELECT vec_id, {_SIM} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 8)),
+h AS (SELECT doc_id, CAST(contains(lower(text), 'license') AS BIGINT) + CAST(contains(lower(text), 'the') AS BIGINT) + CAST(contains(lower(text), 'token') AS BIGINT) AS hits FROM documents),
+l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY hits DESC, doc_id) AS r FROM (SELECT * FROM h WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 8))
+SELECT id, round(coalesce(1 / (60.0 + v.r), 0) + coalesce(1 / (60.0 + l.r), 0), 8) AS score FROM v FULL JOIN l USING (id) ORDER BY score DESC, id LIMIT 8""")
+def _(spark, d):
+    a = search.ranked(search.vector_top(t(spark, d, "embeddings"), first_vector(spark, d)), "vec_id", F.col("similarity").desc(), F.col("vec_id"))
+    b = search.ranked(search.lexical_top(t(spark, d, "documents"), TERMS), "doc_id", F.col("hits").desc(), F.col("doc_id"))
+    return search.fuse(a, b)
+
+
+@query("a25_spread_over_sources", "SELECT doc_id, source, turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source, doc_id LIMIT 50")
+def _(spark, d):
+    return search.spread_over(t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 50).select("doc_id", "source", F.col("turn").cast("long").alias("turn"))
+
+
+# ---- graph ----
+
+_NODES = """nodes AS (
+SELECT 'r' || r_regionkey AS id, 'region' AS kind, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation', n_name FROM nation
+UNION ALL SELECT 'c' || c_custkey, 'customer', c_name FROM customer UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name FROM supplier
+UNION ALL SELECT 'p' || p_partkey, 'part', p_name FROM part UNION ALL SELECT 'o' || o_orderkey, 'order', o_orderstatus FROM orders)"""
+_EDGES = """edges AS (
+SELECT 'BELONGS_TO' AS type, 'n' || n_nationkey AS source_id, 'r' || n_regionkey AS target_id FROM nation
+UNION ALL SELECT 'BELONGS_TO', 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'BELONGS_TO', 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+UNION ALL SELECT 'REFERENCES', 'o' || o_orderkey, 'c' || o_custkey FROM orders
+UNION ALL SELECT DISTINCT 'USES', 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION ALL SELECT DISTINCT 'DEPENDS_ON', 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"""
+_BOTH = "step AS (SELECT source_id AS a, target_id AS b, type FROM edges UNION ALL SELECT target_id, source_id, type FROM edges)"
+
+
+def _node(df: DataFrame, prefix: str, key: str, kind: str, label: str) -> DataFrame:
+    return df.select(F.concat(F.lit(prefix), F.col(key)).alias("id"), F.lit(kind).alias("kind"), F.col(label).alias("label"))
+
+
+def _edge(df: DataFrame, type_: str, p: str, a: str, q: str, b: str) -> DataFrame:
+    return df.select(F.lit(type_).alias("type"), F.concat(F.lit(p), F.col(a)).alias("source_id"), F.concat(F.lit(q), F.col(b)).alias("target_id"))
+
+
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    out = _node(t(spark, d, "region"), "r", "r_regionkey", "region", "r_name")
+    for table, p, k, kind, label in (("nation", "n", "n_nationkey", "nation", "n_name"), ("customer", "c", "c_custkey", "customer", "c_name"), ("supplier", "s", "s_suppkey", "supplier", "s_name"), ("part", "p", "p_partkey", "part", "p_name"), ("orders", "o", "o_orderkey", "order", "o_orderstatus")):
+        out = out.unionByName(_node(t(spark, d, table), p, k, kind, label))
+    return out
+
+
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    item = t(spark, d, "lineitem")
+    out = _edge(t(spark, d, "nation"), "BELONGS_TO", "n", "n_nationkey", "r", "n_regionkey")
+    out = out.unionByName(_edge(t(spark, d, "customer"), "BELONGS_TO", "c", "c_custkey", "n", "c_nationkey")).unionByName(_edge(t(spark, d, "supplier"), "BELONGS_TO", "s", "s_suppkey", "n", "s_nationkey"))
+    out = out.unionByName(_edge(t(spark, d, "orders"), "REFERENCES", "o", "o_orderkey", "c", "o_custkey"))
+    return out.unionByName(_edge(item, "USES", "o", "l_orderkey", "p", "l_partkey").distinct()).unionByName(_edge(item, "DEPENDS_ON", "p", "l_partkey", "s", "l_suppkey").distinct())
+
+
+@query("a1_graph_summary", f"WITH {_NODES}, {_EDGES} SELECT 'node' AS what, kind AS name, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY ALL")
+def _(spark, d):
+    return graph.summary(graph_nodes(spark, d), graph_edges(spark, d))
+
+
+@query("j5_typed_neighbors", f"WITH {_NODES}, {_EDGES}, {_BOTH} SELECT DISTINCT a AS start_id, nodes.* FROM step JOIN nodes ON b = id WHERE a IN (SELECT id FROM nodes WHERE kind = 'nation') AND type = 'BELONGS_TO'")
+def _(spark, d):
+    nodes = graph_nodes(spark, d)
+    return graph.neighbors(nodes, graph_edges(spark, d), graph.nodes_of(nodes, "nation"), "both", ("BELONGS_TO",)).select("start_id", "id", "kind", "label")
+
+
+@query("j8_two_hop_dependencies", f"WITH {_EDGES} SELECT DISTINCT u.source_id AS order_id, v.target_id AS supplier_id FROM edges u JOIN edges v ON u.target_id = v.source_id WHERE u.type = 'USES' AND v.type = 'DEPENDS_ON'")
+def _(spark, d):
+    edges = graph_edges(spark, d)
+    u = graph.edges_of(edges, "USES").select(F.col("source_id").alias("order_id"), F.col("target_id").alias("part_id"))
+    v = graph.edges_of(edges, "DEPENDS_ON").select(F.col("source_id").alias("part_id"), F.col("target_id").alias("supplier_id"))
+    return u.join(v, "part_id").select("order_id", "supplier_id").distinct()
+
+
+@query("j10_module_dependencies", f"""
+WITH {_EDGES}, m AS (SELECT 'c' || c_custkey AS id, c_mktsegment AS module FROM customer UNION ALL SELECT 'o' || o_orderkey, o_orderpriority FROM orders UNION ALL SELECT 'p' || p_partkey, p_brand FROM part)
+SELECT DISTINCT a.module AS source, b.module AS target, type FROM edges JOIN m a ON a.id = source_id JOIN m b ON b.id = target_id WHERE a.module <> b.module""")
+def _(spark, d):
+    m = t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("module"))
+    m = m.unionByName(t(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("module"))).unionByName(t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_brand").alias("module")))
+    return graph.module_dependencies(graph_edges(spark, d), m)
+
+
+@query("g1_traverse", f"""
+WITH RECURSIVE {_EDGES}, {_BOTH},
+r AS (SELECT 'r0' AS id, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN step ON a = id WHERE depth < 2 AND type = 'BELONGS_TO')
+SELECT id, min(depth) AS depth FROM r GROUP BY id""")
+def _(spark, d):
+    nodes = graph_nodes(spark, d)
+    return graph.traverse(graph_edges(spark, d), nodes.where("id = 'r0'"), 2, ("BELONGS_TO",))
+
+
+@query("g2_reachability", f"""
+WITH RECURSIVE {_EDGES},
+r AS (SELECT 'o' || o_orderkey AS start_id, 'o' || o_orderkey AS id, 0 AS depth FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' UNION SELECT start_id, target_id, depth + 1 FROM r JOIN edges ON source_id = id WHERE depth < 4)
+SELECT start_id, id, min(depth) AS depth FROM r GROUP BY ALL""")
+def _(spark, d):
+    starts = t(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    return graph.reachability(graph_edges(spark, d), starts, 4)
+
+
+@query("a7_fan_in", f"""
+WITH RECURSIVE {_EDGES},
+r AS (SELECT 'o' || o_orderkey AS start_id, 'o' || o_orderkey AS id, 0 AS depth FROM orders WHERE o_orderstatus = 'P' UNION SELECT start_id, target_id, depth + 1 FROM r JOIN edges ON source_id = id WHERE depth < 3)
+SELECT id, count(DISTINCT start_id) AS n_starts FROM r WHERE id LIKE 's%' GROUP BY id""")
+def _(spark, d):
+    starts = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    return graph.fan_in(graph.reachability(graph_edges(spark, d), starts, 3), graph_nodes(spark, d), "supplier")
+
+
+@query("j9_link_calls", r"""
+WITH r AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)', 1) AS key FROM pages), last AS (SELECT key, max(page_id) AS route_id FROM r GROUP BY key),
+c AS (SELECT doc_id, lang AS key FROM documents)
+SELECT doc_id AS call_id, route_id, key FROM c JOIN last USING (key)""")
+def _(spark, d):
+    routes = t(spark, d, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)", 1).alias("key"), F.col("page_id").alias("ord"))
+    return graph.link_calls(t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("key")), routes)
+
+
+@query("s12_anchors", r"""
+SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY ALL""")
+def _(spark, d):
+    a = t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return a.groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query("j15_merge_graph", """
+WITH prev AS (SELECT doc_id AS id, source AS file_path, sha1(text) AS hash FROM documents WHERE doc_id % 3 <> 0), cur AS (SELECT doc_id AS id, source AS file_path, sha1(text) AS hash FROM documents WHERE doc_id % 3 <> 1)
+SELECT * FROM cur UNION ALL SELECT * FROM prev WHERE file_path NOT IN ('src1', 'src2') AND id NOT IN (SELECT id FROM cur)""")
+def _(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.sha1("text").alias("hash"))
+    invalid = spark.createDataFrame([("src1",), ("src2",)], "path string")
+    return graph.merge_graph(docs.where("id % 3 <> 0"), docs.where("id % 3 <> 1"), invalid)
+
+
+# ---- knowledge, memory, telemetry ----
+
+
+@query("j14_snapshot_diff", """
+WITH p AS (SELECT doc_id AS id, sha1(text) AS old FROM documents WHERE doc_id % 5 <> 0), c AS (SELECT doc_id AS id, sha1(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS new FROM documents WHERE doc_id % 5 <> 1)
+SELECT count(*) FILTER (old IS NULL) AS added, count(*) FILTER (new IS NULL) AS removed, count(*) FILTER (old <> new) AS changed, count(*) FILTER (old = new) AS reused FROM p FULL JOIN c USING (id)""")
+def _(spark, d):
+    docs = t(spark, d, "documents")
+    p = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), F.sha1("text").alias("hash"))
+    c = docs.where("doc_id % 5 <> 1").select(F.col("doc_id").alias("id"), F.sha1(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("hash"))
+    return knowledge.snapshot_diff(p, c)
+
+
+@query("j21_fact_status", """
+WITH f AS (SELECT source AS id, doc_id AS path, sha1(text) AS hash FROM documents), n AS (SELECT doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE sha1(text) END AS now_hash FROM documents WHERE doc_id % 9 <> 0)
+SELECT id, bool_or(coalesce(hash = now_hash, false)) AS valid, NOT bool_and(coalesce(hash = now_hash, false)) AS stale_any FROM f LEFT JOIN n USING (path) GROUP BY id""")
+def _(spark, d):
+    docs = t(spark, d, "documents")
+    facts = docs.select(F.col("source").alias("id"), F.col("doc_id").alias("path"), F.sha1("text").alias("hash"))
+    files = docs.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 4 == 0, F.lit("x")).otherwise(F.sha1("text")).alias("hash"))
+    return knowledge.fact_status(facts, files)
+
+
+@query("a14_merge_facts", """
+WITH b AS (SELECT source AS id, quality AS confidence, lang FROM documents JOIN labels USING (doc_id))
+SELECT id, max(confidence) AS confidence, list_sort(list(DISTINCT lang)) AS paths FROM b GROUP BY id""")
+def _(spark, d):
+    facts = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(F.col("source").alias("id"), F.col("quality").alias("confidence"), F.array("lang").alias("paths"), "doc_id")
+    return knowledge.merge_facts(facts.where("doc_id % 2 = 0").drop("doc_id"), facts.where("doc_id % 2 = 1").drop("doc_id"))
+
+
+@query("a15_merge_glossary", "SELECT source AS project, lower(lang) AS term, arg_max(sha1(text), (quality, doc_id)) AS definition, max(quality) AS confidence FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def _(spark, d):
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    return knowledge.merge_glossary(rows.select(F.col("source").alias("project"), F.upper("lang").alias("term"), F.sha1("text").alias("definition"), F.col("quality").alias("confidence"), F.col("doc_id").alias("seq")))
+
+
+@query("w1_latest_turn", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    return knowledge.latest(t(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+@query("w3_memory_tail", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 6")
+def _(spark, d):
+    return knowledge.tail(t(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+@query("a6_churn", "SELECT user_id AS file, count(*) AS commits, count(*) FILTER (event_type = 'error') AS fixes, count(*) + 2 * count(*) FILTER (event_type = 'error') AS churn FROM events GROUP BY user_id")
+def _(spark, d):
+    return knowledge.churn(t(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("subject")))
+
+
+@query("t13_hot_files", "SELECT user_id AS file, count(*) FILTER (event_type = 'error') AS fixes FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') >= 2 ORDER BY fixes DESC, file LIMIT 3")
+def _(spark, d):
+    c = knowledge.churn(t(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("subject")))
+    return c.where("fixes >= 2").orderBy(F.col("fixes").desc(), "file").limit(3).select("file", "fixes")
+
+
+@query("a11_usage_rollup", "SELECT event_type AS role, count(*) AS calls, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY ROLLUP (event_type)")
+def _(spark, d):
+    return knowledge.usage(t(spark, d, "events").select(F.col("event_type").alias("role"), F.get_json_object("props", "$.k").cast("long").alias("tokens")))
+
+
+@query("a12_progress", "SELECT count(*) FILTER (quality = 1) AS fresh, count(*) AS total, CAST(floor(100 * count(*) FILTER (quality = 1) / count(*) + 0.5) AS BIGINT) AS percent FROM labels")
+def _(spark, d):
+    return knowledge.progress(t(spark, d, "labels").select((F.col("quality") == 1).alias("fresh")))
+
+
+@query("r9_daily_usage", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    from .streaming.telemetry import daily_usage
+
+    return daily_usage(t(spark, d, "events"))
