@@ -110,7 +110,7 @@ class DuckBPE:
             begin = end
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def encode_pieces(self, pieces: list[str], _: int) -> list[bytes]:
         """Ids of texts whose words are new or known; words with a space before them are also kept."""
         known, find = self.cache.known, self.pattern.findall
         split = [find(p) for p in pieces]

@@ -28,12 +28,12 @@ def split_pieces(text: str) -> list[str]:
 class PieceCache:
     """Maps pieces to the bytes of their ids.
 
-    ``encode(pieces)`` gives a list of bytes for a list of strings.  The cache
-    holds at most ``most`` pieces and starts afresh beyond that; pieces of over
-    ``longest`` characters are encoded but not kept.
+    ``encode(pieces, n)`` gives a list of bytes for a list of strings, the first n of
+    which are a space and a mark or more.  The cache starts afresh beyond ``most``
+    pieces; pieces of over ``longest`` characters are encoded but not kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_500_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str], int], list[bytes]], most: int = 1_500_000, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
         self.known: dict[str, bytes] = {}
 
@@ -42,31 +42,30 @@ class PieceCache:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        split = [split_pieces(t) for t in texts]
-        firsts = [p[0] for p in split]
-        wanted: set[str] = set()
-        for p in split:
-            wanted.update(p[1:])
-        missing = [w for w in wanted if w not in known]
-        got = self.encode([" " + w for w in missing] + firsts)
-        long: list[str] = []
-        for w, ids in zip(missing, got):
-            known[w] = ids
-            if len(w) > self.longest:
-                long.append(w)
-        heads = got[len(missing) :]
-        get = known.__getitem__
-        out = [h + b"".join(map(get, p[1:])) for h, p in zip(heads, split)]
-        for w in long:
-            del known[w]
+        get = known.get
+        rows, firsts = [], []
+        missing: dict[str, bytes] = {}
+        for t in texts:
+            p = split_pieces(t)
+            firsts.append(p[0])
+            p[0] = ""  # never known
+            ids = list(map(get, p))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            words = [p[i] for i in gaps]
+            missing.update(dict.fromkeys(words[1:], b""))
+            rows.append((ids, gaps, words))
+        new = list(missing)
+        got = self.encode([" " + w for w in new] + firsts, len(new))
+        missing = dict(zip(new, got))
+        out = []
+        for (ids, gaps, words), head in zip(rows, got[len(new) :]):
+            for i, w in zip(gaps, words):
+                ids[i] = missing[w] if i else head
+            out.append(b"".join(ids))
+        known.update((w, x) for w, x in missing.items() if len(w) <= self.longest)
         return out
 
 
-def _joins(piece: str) -> bool:
-    """Whether a piece keeps its ids between carriage returns."""
-    return bool(piece) and "\r" not in piece and not piece[-1].isspace() and (not piece[0].isspace() or (piece[0] == " " and not piece[1].isspace()))
-
-
 def hf_encoder(path: str, together: int = 512) -> Callable[[list[str]], list[bytes]]:
     """Ids by the tokenizers library as little-endian unsigned 32-bit integers.
 
@@ -83,9 +82,9 @@ def hf_encoder(path: str, together: int = 512) -> Callable[[list[str]], list[byt
     def singly(pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def encode(pieces: list[str]) -> list[bytes]:
+    def encode(pieces: list[str], n: int) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if _joins(p)] if len(mark) == 1 else []
+        joined = [i for i, p in enumerate(pieces[:n]) if not p[-1].isspace() and "\r" not in p] if len(mark) == 1 else []
         groups = [joined[i : i + together] for i in range(0, len(joined), together)]
         apart = set(range(len(pieces))).difference(joined)
         for group, e in zip(groups, tokenizer.encode_batch_fast(["\r".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False)):
