@@ -33,7 +33,7 @@ from .common import arrow_schema, slices, staged, strings, table, text_of
 
 #: Bounds of the model: labelled rows it learns from, tokens it keeps.
 SAMPLE, VOCABULARY = 20_000, 65_536
-GAP, LEAST_LOG_ODDS, LEAST_Z, PRIOR, FLAT, SIGNIFICANT = -0.25, 1.0, 3.2, 1000.0, 0.5, 0.05
+GAP, LEAST_LOG_ODDS, LEAST_Z, PRIOR, FLAT, SIGNIFICANT = -0.25, 1.0, 3.2, 0.001, 0.5, 0.05
 WORD = r"[^\W\d_]+"
 _WORD = re.compile(WORD)
 
@@ -134,9 +134,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
     share = own.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     if not yes or not no:
         return Model(weights=[math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0, 0.0])
-    prior = F.lit(PRIOR / both) * F.col("n") + FLAT
+    prior = F.lit(PRIOR) * F.col("n") + FLAT
     a, b = F.col("y") + prior, F.col("n") - F.col("y") + prior
-    odds = F.log(a / (yes + PRIOR - a)) - F.log(b / (no + PRIOR - b))
+    odds = F.log(a / (yes + PRIOR * both + FLAT - a)) - F.log(b / (no + PRIOR * both + FLAT - b))
     scored = counted.select("word", (F.col("n") - F.col("y")).alias("clean"), odds.alias("s"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
     strong = scored.where((F.abs("z") >= LEAST_Z) & (F.abs("s") >= LEAST_LOG_ODDS)).orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()
     model = Model({r["word"]: float(r["s"]) for r in strong})
