@@ -194,7 +194,14 @@ class Plan:
 # ---- the jobs ----
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int, folder: str, window: int) -> DataFrame:
+def id_width(vocabulary: str, end_id: int) -> str:
+    """The kind of integer that the stored ids need."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(end_id, Tokenizer.from_file(vocabulary).get_vocab_size() - 1) <= 0xFFFF else "<u4"
+
+
+def encode(docs: DataFrame, vocabulary: str, end_id: int, folder: str, window: int, kind: str) -> DataFrame:
     """Write the ids of every document to a file per task; returns a written row per document with its counts so far."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, folder: str, window: i
                 ranks[n % window] += 1
                 full += n // window
                 at += 1
-                out.write(ids)
+                out.write(ids if kind == "<u4" else np.frombuffer(ids, "<u4").astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         if out is not None:
             out.commit()
@@ -222,7 +229,9 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, folder: str, window: i
 def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """Every piece of every packed document with its sequence, its offset there and its ids."""
     spark = docs.sparkSession
-    rows = encode(docs, vocabulary, end_id, scratch(spark, "ids"), window)
+    kind = id_width(vocabulary, end_id)
+    width = int(kind[-1])
+    rows = encode(docs, vocabulary, end_id, scratch(spark, "ids"), window, kind)
     tails = rows.where("tail > 0").groupBy("task", "tail").agg(F.count("*").alias("n"))
     per_task = staged(tails, "tails")
     histogram = np.zeros(window + 1, np.int64)
@@ -252,8 +261,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, wi
                     now, source, at = path, open_input(path), 0
                 if at != byte_at:
                     source.seek(byte_at)
-                ids = source.read(4 * n)
-                at = byte_at + 4 * n
+                ids = source.read(width * n)
+                at = byte_at + width * n
+                if width == 2:
+                    ids = np.frombuffer(ids, kind).astype("<u4").tobytes()
                 places = [(k * window, window, first + k, 0) for k in range(n // window)]
                 if tail:
                     places += [(n - tail + a, m, w, o) for a, m, w, o in plan.pieces(tail, rank, window)]
