@@ -33,7 +33,7 @@ class PieceCache:
     pieces; pieces of over ``longest`` characters are encoded but not kept.
     """
 
-    def __init__(self, encode: Callable[[list[str], int], list[bytes]], most: int = 800_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str], int], list[bytes]], most: int = 500_000, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
         self.known: dict[str, bytes] = {}
 
