@@ -16,16 +16,19 @@ no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, arrow_schema, keep_rows, numbered, slices, staged, strings, table, text_of
+from .common import ROW, OnceFile, arrow_schema, keep_rows, numbered, open_input, scratch, slices, staged, strings, table, text_of, write_once
 from .components import components
 
 TILE = 8192
@@ -190,6 +193,195 @@ def deduplicate(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     return keep_rows(rows, kept)
 
 
+# ---- similar shingle sets ----
+#
+# A wide radius finds what is similar but also much that is not, so each pair found
+# is checked on its shingle sets.  Population counts rule nothing out at such a radius;
+# the sizes of the sets do, as a share of common shingles bounds their ratio.  Tiles
+# therefore hold sets of like sizes.  A task unites what it has found similar and
+# checks no pair that is united already, so a group of copies never turns into all
+# its pairs.
+
+#: A set in a tile: fingerprint, shingles, row, and where its text lies.
+_ENTRY = np.dtype([(k, "<u8" if k == "fp" else "<i8") for k in ("fp", "n", "row", "file", "at", "size", "raw")])
+#: Bytes of shingle sets and number of open files that a comparing task keeps.
+CACHE, OPEN = 64 << 20, 32
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def alike(a: int | np.ndarray, b: int | np.ndarray, common: int | np.ndarray, share: float) -> bool | np.ndarray:
+    """Whether sets of ``a`` and ``b`` members have ``share`` of their union in common."""
+    return common + 1e-9 >= share * (a + b - common)
+
+
+def _set_prints(rows: DataFrame, store: str, width: int) -> DataFrame:
+    """A row per document: fingerprint, size and digest of its shingle set, and where its text lies in ``store``."""
+    ddl = "row long, doc_id long, fp long, n long, digest long, file long, at long, size long, raw long"
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, codec, attempt, out = arrow_schema(ddl), pa.Codec("zstd"), TaskContext.get().taskAttemptId(), None
+        for batch in slices(batches, rows=128, size=2 << 20):
+            out = out or OnceFile(f"{store}/texts-{attempt}")
+            texts = strings(batch.column(2))
+            sets = [shingle_set(x, width) for x in texts]
+            # an even count takes its least hash twice: no bit is tied, and similar sets mostly share it
+            fp = majority([x if len(x) % 2 else np.concatenate([x[:1], x]) for x in sets])
+            at, size, raw = [], [], []
+            for x in texts:
+                data = x.encode()
+                packed = codec.compress(data, asbytes=True)
+                at.append(out.size)
+                size.append(len(packed))
+                raw.append(len(data))
+                out.write(packed)
+            digest = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            columns = [batch.column(0), batch.column(1), fp.view(np.int64), [len(x) for x in sets], digest, [attempt] * len(texts), at, size, raw]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], schema=schema)
+        if out:
+            out.commit()
+
+    return rows.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(compute, ddl)
+
+
+class _Sets:
+    """The shingle sets of entries, read from the store; a bounded number of bytes is kept."""
+
+    def __init__(self, store: str, width: int):
+        self.store, self.width, self.codec = store, width, pa.Codec("zstd")
+        self.sets: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.files: OrderedDict[int, pa.NativeFile] = OrderedDict()
+        self.held = 0
+
+    def __call__(self, e: np.void) -> np.ndarray:
+        row, file = int(e["row"]), int(e["file"])
+        found = self.sets.pop(row, None)
+        if found is None:
+            opened = self.files.pop(file, None) or open_input(f"{self.store}/texts-{file}")
+            self.files[file] = opened
+            if len(self.files) > OPEN:
+                self.files.popitem(last=False)[1].close()
+            opened.seek(int(e["at"]))
+            found = shingle_set(self.codec.decompress(opened.read(int(e["size"])), int(e["raw"]), asbytes=True).decode(), self.width)
+            self.held += found.nbytes
+        self.sets[row] = found
+        while self.held > CACHE and len(self.sets) > 2:
+            self.held -= self.sets.popitem(last=False)[1].nbytes
+        return found
+
+
+def similar_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int, share: float, load: Callable[[np.void], np.ndarray]) -> list[tuple[int, int]]:
+    """Links (row, row) that span the groups of similar sets within a pair of tiles."""
+    nodes = a if same else np.concatenate([a, b])
+    base = 0 if same else len(a)
+    label, out = np.arange(len(nodes)), []
+    fa, fb, na, nb = (np.ascontiguousarray(x[k]) for k in ("fp", "n") for x in (a, b))
+    step = max(1, (1 << 17) // max(1, len(b)))
+    for start in range(0, len(a), step):
+        r, c = np.nonzero(np.bitwise_count(fa[start : start + step, None] ^ fb[None, :]) <= radius)
+        r += start
+        fits = alike(na[r], nb[c], np.minimum(na[r], nb[c]), share)
+        if same:
+            fits &= r < c
+        r, c = r[fits], c[fits] + base
+        heads = np.flatnonzero(np.diff(r, prepend=-1))
+        for x, y in zip(heads, [*heads[1:], len(r)]):
+            i = r[x]
+            left = c[x:y][label[c[x:y]] != label[i]]
+            while len(left):
+                j, left = left[0], left[1:]
+                u, v = load(nodes[i]), load(nodes[j])
+                if alike(len(u), len(v), len(np.intersect1d(u, v, assume_unique=True)), share):
+                    out.append((int(nodes["row"][i]), int(nodes["row"][j])))
+                    label[label == label[j]] = label[i]
+                    left = left[label[left] != label[i]]
+    return out
+
+
+def _size_tiles(cells: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """[first bucket, last bucket, least n, greatest n, chunks] for cells (bucket, count, least n, greatest n): runs of up to ``TILE`` sets."""
+    tiles, filled = [], TILE
+    for bucket, count, low, high in sorted(cells):
+        if filled + count > TILE:
+            tiles.append([bucket, bucket, low, high, -(-count // TILE)])
+            filled = 0
+        filled += count
+        tiles[-1][1], tiles[-1][3] = bucket, high
+    return tiles
+
+
+def similar_sets(sets: DataFrame, store: str, width: int, share: float, radius: int) -> DataFrame:
+    """(a, b): links between rows of ``sets`` that span every group of similar ones found within ``radius`` bits."""
+    spark = sets.sparkSession
+    bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(1.02)).cast("int")
+    # smaller sets are similar only if equal
+    sized = sets.where(F.col("n") + 1e-9 >= share / (1 - share)).withColumn("bucket", bucket)
+    cells = sized.groupBy("bucket").agg(F.count("*"), F.min("n"), F.max("n")).collect()  # a row per 2 % of size
+    if not cells:
+        return spark.createDataFrame([], "a long, b long")
+    tiles = _size_tiles([tuple(x) for x in cells])
+    pairs = []
+    for i, (*_, high, chunks) in enumerate(tiles):
+        for j in range(i, len(tiles)):
+            if high + 1e-9 < share * tiles[j][2]:
+                break
+            pairs += [(i, x, j, y) for x in range(chunks) for y in range(x if i == j else 0, tiles[j][4])]
+    layout = spark.createDataFrame([(k, i, tile[4]) for i, tile in enumerate(tiles) for k in range(tile[0], tile[1] + 1)], "bucket int, tile int, chunks int")
+    placed = sized.join(F.broadcast(layout), "bucket").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    names = list(_ENTRY.names)
+    grouped = placed.groupBy("tile", "chunk").agg(F.collect_list(F.struct(*names)).alias("entries"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                entries = batch.column(2)[i].values
+                data = np.empty(len(entries), _ENTRY)
+                for name in names:
+                    x = entries.field(name).to_numpy(zero_copy_only=False)
+                    data[name] = x.view(np.uint64) if name == "fp" else x
+                write_once(f"{store}/tile-{batch.column(0)[i]}-{batch.column(1)[i]}", data.tobytes())
+            yield batch.select([0, 1])
+
+    present = {tuple(x) for x in staged(grouped.mapInArrow(write, "tile int, chunk int"), "tiles").collect()}  # a row per tile
+    pairs = [x for x in pairs if x[:2] in present and x[2:] in present]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = _Sets(store, width)
+
+        def read(tile: int, chunk: int) -> np.ndarray:
+            with open_input(f"{store}/tile-{tile}-{chunk}") as f:
+                return np.frombuffer(f.read(), _ENTRY)
+
+        for batch in batches:
+            for i, x, j, y in zip(*(c.to_pylist() for c in batch.columns)):
+                found = similar_links(read(i, x), read(j, y), (i, x) == (j, y), radius, share, load)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    dealt = spark.createDataFrame(pairs, "tile_a int, chunk_a int, tile_b int, chunk_b int").repartition(min(len(pairs), 1000))
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int = 18) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group linked by similar shingle sets the one of least doc_id.
+
+    Two sets are similar if ``share`` of their union is common to both.  Pairs are
+    looked for within ``radius`` bits; of those with just that share nearly all lie there.
+    """
+    rows = numbered(docs)
+    store = scratch(docs.sparkSession, "similar")
+    prints = staged(_set_prints(rows, store, width), "set-prints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "file", "at", "size", "raw")).alias("best")
+    sets = staged(prints.groupBy("fp", "n", "digest").agg(best).select("fp", "n", "best.*"), "sets")
+    roots = components(staged(similar_sets(sets, store, width, share, radius), "links"))
+    rooted = sets.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("component", F.coalesce("root", "row"))
+    kept = rooted.groupBy("component").agg(F.min(F.struct("none", "doc_id", "row")).alias("best")).select("best.row")
+    return keep_rows(rows, kept)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_groups(table(spark, sf_dir, "documents"))
