@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, score_text
+from ..plans.staging import staged
 
 
 def vector_top(vectors: DataFrame, query: list[float], k: int = 8, id_column: str = "vec_id") -> DataFrame:
@@ -15,6 +18,59 @@ def vector_top(vectors: DataFrame, query: list[float], k: int = 8, id_column: st
     return scored.orderBy(F.col("similarity").desc(), id_column).limit(k)
 
 
+def vector_top_set(vectors: DataFrame, queries: DataFrame, k: int = 8, id_column: str = "vec_id", block: int = 1024) -> DataFrame:
+    """(query_id, id, similarity): for each of ``queries`` (query_id, query) its k rows of greatest cosine similarity; ties go to the least id.
+
+    Queries are scored against all rows a block at a time.  A task keeps each query's
+    best k of its rows; these are then merged per query.  Null vectors are left out
+    on both sides, those of length 0 have no similarity and come last.
+    """
+    spark, size = vectors.sparkSession, 4096
+    given = queries.where("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query"))
+    # dealt by hash over twice the blocks needed, so a block holds about half its bound
+    parts = max(1, -(-given.count() // block) * 2)
+    blocks = staged(given.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")), "queries")
+    rows = vectors.where("embedding is not null").select(F.col(id_column).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def unit(column: pa.Array) -> np.ndarray:
+        x = np.array(column.to_pylist(), np.float64)
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return x / length
+
+    out = None
+    for part in range(parts):
+        asked = blocks.where(F.col("part") == part).select("query_id", "query").toArrow()  # one block
+        if not asked.num_rows:
+            continue
+        asked = asked.combine_chunks()
+        names, q = np.array(asked.column(0).to_pylist(), np.int64), unit(asked.column(1))
+
+        def score(batches, names=names, q=q):
+            best = None  # per query: negated similarity and id, k columns
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    piece = batch.slice(at, size)
+                    sims = np.round(q @ unit(piece.column(1)).T, 6)
+                    neg = np.where(np.isnan(sims), np.inf, -sims)
+                    ids = np.broadcast_to(np.array(piece.column(0).to_pylist(), np.int64), neg.shape)
+                    if best is not None:
+                        neg, ids = np.concatenate([best[0], neg], axis=1), np.concatenate([best[1], ids], axis=1)
+                    order = np.lexsort((ids, neg), axis=1)[:, :k]
+                    best = np.take_along_axis(neg, order, 1), np.take_along_axis(ids, order, 1)
+            if best is not None:
+                n = best[0].shape[1]
+                flat = best[0].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best[1].ravel()), pa.array(-flat, mask=np.isinf(flat))], names=["query_id", "id", "similarity"])
+
+        local = rows.mapInArrow(score, "query_id long, id long, similarity double")
+        out = local if out is None else out.unionByName(local)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def lexical_top(docs: DataFrame, terms: list[str], k: int = 8, id_column: str = "doc_id") -> DataFrame:
     """The k rows that hold most of the terms."""
     scored = docs.withColumn("hits", score_text(F.col("text"), terms)).where("hits > 0")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import guards, text
@@ -159,6 +159,52 @@ def _(spark, d):
     return search.fuse(a, b)
 
 
+# The same searches for every vector whose id is divisible by 20, against all rows.
+
+
+def _set_sql(where: str = "TRUE") -> str:
+    sim = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+    return f"top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, {sim} AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND {where}) QUALIFY r <= 8)"
+
+
+def _set_top(spark: SparkSession, d: str, *labels: int) -> DataFrame:
+    rows = t(spark, d, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.vector_top_set(rows.where(F.col("label").isin(*labels)) if labels else rows, asked).withColumnRenamed("id", "vec_id")
+
+
+@query("t1_vector_top_set", f"WITH {_set_sql()} SELECT query_id, vec_id, similarity FROM top")
+def _(spark, d):
+    return _set_top(spark, d).select("query_id", "vec_id", "similarity")
+
+
+@query("t2_vector_top_roles_set", f"WITH {_set_sql('e.label IN (1, 3, 5)')} SELECT query_id, vec_id, label, similarity FROM top")
+def _(spark, d):
+    return _set_top(spark, d, 1, 3, 5).join(t(spark, d, "embeddings").select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "similarity")
+
+
+@query("t4_semantic_seeds_set", f"WITH {_set_sql()} SELECT query_id, vec_id, similarity FROM top WHERE similarity >= 0.45 AND r <= 3")
+def _(spark, d):
+    return _set_top(spark, d).where("similarity >= 0.45 AND rank <= 3").select("query_id", "vec_id", "similarity")
+
+
+@query("t3_hybrid_search_set", f"""
+WITH {_set_sql()},
+h AS (SELECT doc_id, CAST(contains(lower(text), 'license') AS BIGINT) + CAST(contains(lower(text), 'the') AS BIGINT) + CAST(contains(lower(text), 'token') AS BIGINT) AS hits FROM documents),
+l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY hits DESC, doc_id) AS r FROM (SELECT * FROM h WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 8)),
+b AS (SELECT query_id, vec_id AS id, 1 / (60.0 + r) AS part FROM top UNION ALL SELECT query_id, id, 1 / (60.0 + r) FROM l, (SELECT DISTINCT query_id FROM top)),
+s AS (SELECT query_id, id, round(sum(part), 8) AS score FROM b GROUP BY ALL)
+SELECT query_id, id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 8""")
+def _(spark, d):
+    top = _set_top(spark, d)
+    words = search.ranked(search.lexical_top(t(spark, d, "documents"), TERMS), "doc_id", F.col("hits").desc(), F.col("doc_id"))
+    part = (1 / (F.lit(60.0) + F.col("rank"))).alias("part")
+    lexical = top.select("query_id").distinct().crossJoin(F.broadcast(words)).select("query_id", "id", part)  # eight rows
+    fused = top.select("query_id", F.col("vec_id").alias("id"), part).unionByName(lexical).groupBy("query_id", "id").agg(F.round(F.sum("part"), 8).alias("score"))
+    rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return fused.withColumn("rn", rn).where("rn <= 8").select("query_id", "id", "score")
+
+
 @query("a25_spread_over_sources", "SELECT doc_id, source, turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source, doc_id LIMIT 50")
 def _(spark, d):
     return search.spread_over(t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 50).select("doc_id", "source", F.col("turn").cast("long").alias("turn"))
