@@ -302,6 +302,23 @@ def _(spark, d):
     return graph.fan_in(graph.reachability(graph_edges(spark, d), starts, 3), graph_nodes(spark, d), "supplier")
 
 
+# From all orders; without SQL twins, tests hold them against brute force.
+
+
+def _all_orders(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nodes_of(graph_nodes(spark, d), "order").select("id")
+
+
+@query("g2_reachability_all")
+def _(spark, d):
+    return graph.reachability(graph_edges(spark, d), _all_orders(spark, d), 4)
+
+
+@query("a7_fan_in_all")
+def _(spark, d):
+    return graph.fan_in_salted(graph.reachability(graph_edges(spark, d), _all_orders(spark, d), 3), graph_nodes(spark, d), "supplier")
+
+
 @query("j9_link_calls", r"""
 WITH r AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)', 1) AS key FROM pages), last AS (SELECT key, max(page_id) AS route_id FROM r GROUP BY key),
 c AS (SELECT doc_id, lang AS key FROM documents)
