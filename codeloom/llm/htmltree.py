@@ -31,7 +31,12 @@ from .common import arrow_schema, slices, strings, table, text_of
 TRAINING_PAGES = 700
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes object canvas select".split())
+#: Skipped with all they hold: code, what isn't rendered, and form controls.  All else is left to the model.
+RAW = frozenset("script style textarea title iframe template noembed noframes select".split())
+#: Elements whose content is text without tags.
+PLAIN = frozenset(["xmp"])
+#: Elements of other vocabularies, inline with what they hold; for them and in them alone a closing slash ends an element at its own tag.
+FOREIGN = frozenset(["svg", "math"])
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input ruby rt rp nobr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}}
@@ -72,7 +77,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def pop(to: int) -> None:
         nonlocal links
-        if any(t not in INLINE for t, _ in stack[to:]):
+        if any(stack[k][1] != stack[k - 1][1] for k in range(to, len(stack))):
             flush()
         for t, _ in stack[to:]:
             links -= t == "a"
@@ -103,6 +108,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     pop(k)
                     break
             continue
+        foreign = tag in FOREIGN or any(t in FOREIGN for t, _ in stack)
+        if foreign and found[3].rstrip().endswith("/"):
+            add_text(" ")
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if not found[3].rstrip().endswith("/") or close:
@@ -124,7 +133,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     pop(k)
                     if tag not in ("tr", "tbody"):
                         break
-        if tag in INLINE or tag in VOID:
+        if tag in FOREIGN:
+            add_text(" ")
+        if tag in INLINE or tag in VOID or (foreign and tag not in CLOSES_P):
             if tag == "hr":
                 flush()
             elif tag in VOID:
@@ -144,6 +155,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes.append(Node(tag, parent, names, hidden, label, nodes[parent].depth + 1))
         nodes[-1].up = nodes[parent].tag
         stack.append((tag, len(nodes) - 1))
+        if tag in PLAIN:
+            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            text = page[at : close.start() if close else end]
+            add_text(text.replace("&", "&amp;"))  # no references in it
+            pop(len(stack) - 1)
+            at = close.end() if close else end
     flush()
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].below += nodes[i].below + nodes[i].size
