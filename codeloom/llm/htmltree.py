@@ -148,7 +148,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         attributes = {}
         if found[3].strip():
             attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(found[3])}
-        names = tuple(dict.fromkeys(w.lower() for k in ("class", "id", "role", "itemprop", "aria-label") for w in _NAME.findall(attributes.get(k, ""))))[:12]
+        names = tuple(dict.fromkeys(w.lower() for k in ("class", "id", "role", "itemprop", "aria-label") for w in _NAME.findall(attributes.get(k, ""))))
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
         label = int(attributes["data-label"]) if "data-label" in attributes else None
         parent = stack[-1][1]

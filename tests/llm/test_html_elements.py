@@ -27,3 +27,8 @@ def test_self_closed_and_unclosed_elements_swallow_nothing():
 
 def test_formulas_and_icons_split_no_sentence():
     assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold. <svg><path d='M0'></path></svg>Then</p>") == ["Let x=1 hold. Then"]
+
+
+def test_names_are_whole():
+    page = "<div class='a b c d e f g h i j k l m' id='comments' role='navigation'>x</div>"
+    assert {"m", "comments", "navigation"} <= set(htmltree.parse(page)[0][1].names)
