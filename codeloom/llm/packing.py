@@ -54,7 +54,7 @@ def combinations(classes: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """x >= 0 with a small ``|a x - y|``: the active-set method, at most ``rounds`` columns entering."""
+    """x >= 0 with a small ``|a x - y|``: the active-set method, at most ``rounds`` columns entering (what they leave unsolved is for the greedy step)."""
     x, passive, tol = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool), 1e-9 * max(1.0, float(np.abs(y).max(initial=0)))
     for _ in range(rounds):
         gain = a.T @ (y - a @ x)
@@ -147,11 +147,14 @@ def make_plan(histogram: np.ndarray, window: int = WINDOW, step: int = STEP, sla
     short: list[tuple[int, int]] = []
     while top := longest(len(histogram) - 1, 1):
         lengths, room = [top], window - top
-        while room and (x := next((int(v) for v in np.flatnonzero(left[1 : room + 1])[::-1] + 1 if left[v] > lengths.count(int(v))), 0)):
-            lengths.append(x)
-            room -= x
-            if len(lengths) > 64:
+        left[top] -= 1
+        for x in np.flatnonzero(left[1 : room + 1])[::-1] + 1:  # as many of the longest that fit as there are, then of the next
+            n = min(room // int(x), int(left[x]))
+            lengths += [int(x)] * n
+            room -= n * int(x)
+            if not room:
                 break
+        left[top] += 1
         if room <= slack:
             place(lengths, min(int(left[x]) // lengths.count(x) for x in set(lengths)))
         else:
@@ -244,7 +247,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, wi
     ranks = per_task.select("task", "tail", F.coalesce(F.sum("n").over(before.partitionBy("tail").orderBy("task")), F.lit(0)).alias("rank_before"))
     fulls = rows.groupBy("task").agg(F.sum(F.floor(F.col("doc_tokens") / window)).alias("n"))
     full = fulls.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("task_full"))
-    placed = rows.join(ranks, ["task", "tail"], "left").join(full, "task")
+    placed = rows.join(ranks.hint("shuffle_merge"), ["task", "tail"], "left").join(full, "task")  # a row for each length of each task: it grows with the tasks
     ordered = placed.select("path", "byte_at", "doc_id", "doc_tokens", "tail", (F.col("rank_in_task") + F.coalesce("rank_before", F.lit(0))).alias("rank"), (F.col("full_before") + F.col("task_full") + packed).alias("first_full")).repartition(max(1, fulls.count()), "path").sortWithinPartitions("path", "byte_at")  # a file per task: rows are short, their ids aren't
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,6 @@ import re
 from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 _CUT = re.compile(r" (?=\S)")
 _NO_CUT = re.compile(r" (?:\s|\Z)")
 
@@ -66,49 +64,72 @@ class PieceCache:
         return out
 
 
-def hf_encoder(path: str, together: int = 512) -> Callable[[list[str]], list[bytes]]:
-    """Ids by the tokenizers library as little-endian unsigned 32-bit integers.
+_LETTERS, _MARKS = r"[A-Za-zÀ-ÖØ-öø-ſ]+", r"[!-&(-/:-@\[-`{-~]+"  # marks but for the apostrophe, which may join letters
+_PLAIN = re.compile(rf" {_LETTERS}(?:{_MARKS})?(?:\n{_LETTERS}(?:{_MARKS})?)*")
+_PART = re.compile(rf" ?{_LETTERS}|{_MARKS}|\n")
 
-    Strings of special tokens in a text are ordinary text.  Pieces are encoded many
-    at a time, set apart by carriage returns, which are words of their own there.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    mark = tokenizer.encode("\r", add_special_tokens=False).ids
+class HFCoder:
+    """Ids by the tokenizers library as little-endian unsigned 32-bit integers.
 
-    def singly(pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    Strings of special tokens in a text are ordinary text.  A new piece of plain words
+    and marks goes word by word to the tokenizer's model, as its pre-tokenizer would cut
+    it, and its words are kept too; any other piece goes through the whole tokenizer.
+    """
 
-    def encode(pieces: list[str], n: int) -> list[bytes]:
+    def __init__(self, path: str, most_parts: int = 100_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        written = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        # the letter that the pre-tokenizer writes for a byte
+        self.letters = {b: x for c in map(chr, [*range(0x80), *range(0xC0, 0x180)]) for b, x in zip(c.encode(), written(c)[0][0])}
+        self.parts: dict[str, bytes] = {}
+        self.most_parts = most_parts
+        self.cache = PieceCache(self.encode)
+
+    def word(self, word: str) -> bytes:
+        """The ids of one whole match of the pre-tokenizer's pattern, in characters of one or two bytes."""
+        written = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+
+    def encode(self, pieces: list[str], n: int) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
-        joined = [i for i, p in enumerate(pieces[:n]) if not p[-1].isspace() and "\r" not in p] if len(mark) == 1 else []
-        groups = [joined[i : i + together] for i in range(0, len(joined), together)]
-        apart = set(range(len(pieces))).difference(joined)
-        for group, e in zip(groups, tokenizer.encode_batch_fast(["\r".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == mark[0])
-            if len(cuts) != len(group) - 1:
-                apart.update(group)
+        known, parts, whole = self.cache.known, self.parts, _PLAIN.fullmatch
+        fresh: dict[str, bytes] = {}
+        if len(parts) > self.most_parts:
+            parts.clear()
+        rest = list(range(n, len(pieces)))
+        for i, piece in enumerate(pieces[:n]):
+            if not whole(piece):
+                rest.append(i)
                 continue
-            data = ids.tobytes()
-            for i, a, b in zip(group, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]):
-                out[i] = data[a:b]
-        rest = sorted(apart)
-        for i, ids in zip(rest, singly([pieces[i] for i in rest])):
-            out[i] = ids
+            ids = []
+            for part in _PART.findall(piece):
+                if part[0] == " ":
+                    stem = part[1:]
+                    x = known.get(stem) or fresh.get(stem)
+                    if x is None:
+                        x = fresh[stem] = self.word(part)
+                else:
+                    x = parts.get(part)
+                    if x is None:
+                        x = parts[part] = self.word(part)
+                ids.append(x)
+            out[i] = ids[0] if len(ids) == 1 else b"".join(ids)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        known.update((w, x) for w, x in fresh.items() if len(w) <= self.cache.longest)
         return out
 
-    return encode
-
 
-_CACHES: dict[str, PieceCache] = {}
+_CODERS: dict[str, HFCoder] = {}
 
 
 def hf_cache(path: str) -> PieceCache:
     """This worker's cache for a vocabulary file."""
-    if path not in _CACHES:
-        _CACHES[path] = PieceCache(hf_encoder(path))
-    return _CACHES[path]
+    if path not in _CODERS:
+        _CODERS[path] = HFCoder(path)
+    return _CODERS[path].cache

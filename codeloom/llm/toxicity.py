@@ -212,8 +212,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([sketch(_WORD.findall(t.lower())) for t in strings(batch.column(2))], pa.int64())], names=["doc_id", "toxic", "text", "sketch"])
 
     rows = staged(own.mapInArrow(sketched, "doc_id long, toxic int, text string, sketch long"), "sketched")
-    alike = rows.groupBy("toxic", "sketch").agg((1 / F.count("*")).alias("weight"))
-    weighed = staged(rows.join(alike, ["toxic", "sketch"]).withColumn("fold", F.pmod(F.xxhash64("sketch"), F.lit(FOLDS)).cast("int")), "weighed")
+    alike = rows.groupBy("toxic", "sketch").agg((1 / F.count("*")).alias("weight"))  # no more than ``sample`` rows
+    weighed = staged(rows.join(F.broadcast(alike), ["toxic", "sketch"]).withColumn("fold", F.pmod(F.xxhash64("sketch"), F.lit(FOLDS)).cast("int")), "weighed")
     share, kinds = weighed.agg(F.coalesce(F.avg("toxic"), F.lit(0.0)), F.countDistinct("toxic")).first()
     if kinds < 2:
         return Model(weights=[math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0])
