@@ -7,9 +7,16 @@ once, until no word has a pair left.  Words repeat, so a worker keeps a bounded
 cache of what it has encoded.  Decoding joins (document, position, token) rows to
 the vocabulary and aggregates their bytes in order.
 
-A query takes a bounded number of bytes and contracts a bounded number of times;
-words that still have pairs start the next one, so very long words cost time
-but no more memory.  Null texts count as empty and have no tokens.
+Words of over ``LONG`` bytes are first cut between bytes that lie side by side in no
+token, where no merge can reach across.  Of a part that is still long, a step contracts every
+occurrence of the pair of least rank that doesn't overlap one to its left: the result is the
+same, as what a contraction makes has a higher rank in a vocabulary each of
+whose tokens can be reached by merges.
+
+A query takes about ``QUERY_BYTES`` bytes (one part at least) and contracts as often as
+``STEP_ROWS`` rows over all its steps allow; parts that still have pairs start the next one,
+so very long words cost time but little memory.  Null texts count as empty and have
+no tokens; null and repeated doc_ids are rows of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,26 +35,41 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_schema, slices, strings, table, text_of
 from .pieces import PieceCache
 
-STEPS, QUERY_BYTES = 48, 400_000
+STEPS, QUERY_BYTES, STEP_ROWS, LONG = 48, 400_000, 20_000_000, 64
 
-#: Rows of a step; key orders the pairs by rank and position and holds how far the pair's second token lies behind its first.
-_RANKED = """
-SELECT w, pos, tok, n, key, {step} AS step, min(key) OVER (PARTITION BY w) AS best FROM (
-  SELECT p.w, p.pos, p.tok, m.n, (m.n::BIGINT << 42) | (p.pos::BIGINT << 10) | (p.next_pos - p.pos) AS key
+_PAIRS = """
+  SELECT p.w, p.pos, p.tok, m.n, p.next_pos
   FROM (SELECT w, pos, tok, lead(tok) OVER o AS next_tok, lead(pos) OVER o AS next_pos FROM {rows} WINDOW o AS (PARTITION BY w ORDER BY pos)) p
-  LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next_tok)
+  LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next_tok"""
+#: Rows of a step; key orders the pairs by rank and position and holds how far the pair's second token lies behind its first.
+_RANKED = f"""
+SELECT *, {{step}} AS step, min(key) OVER (PARTITION BY w) AS best FROM (
+  SELECT w, pos, tok, n, (n::BIGINT << 42) | (pos::BIGINT << 10) | (next_pos - pos) AS key FROM ({_PAIRS}))
 """
 _CONTRACTED = """(
   SELECT w, pos, CASE WHEN key = best THEN n ELSE tok END AS tok FROM s
   WHERE pos <> ((best >> 10) & 4294967295) + (best & 1023))"""
-ENCODE = f"""
+#: The same for all occurrences of the least pair; of a row of overlapping ones, every second.
+_RANKED_LONG = f"""
+SELECT w, pos, tok, n, chosen, coalesce(lag(chosen) OVER (PARTITION BY w ORDER BY pos), false) AS gone, {{step}} AS step, best FROM (
+  SELECT *, n IS NOT NULL AND n = best AND (place - max(CASE WHEN n = best THEN 0 ELSE place END) OVER (PARTITION BY w ORDER BY pos)) % 2 = 1 AS chosen FROM (
+    SELECT *, min(n) OVER (PARTITION BY w) AS best, row_number() OVER (PARTITION BY w ORDER BY pos) AS place FROM ({_PAIRS})))
+"""
+_CONTRACTED_LONG = "(SELECT w, pos, CASE WHEN chosen THEN n ELSE tok END AS tok FROM s WHERE best IS NOT NULL AND NOT gone)"
+
+
+def _recursive(ranked: str, contracted: str) -> str:
+    return f"""
 WITH RECURSIVE s AS (
-{_RANKED.format(step="0", rows="start_rows")}
+{ranked.format(step="0", rows="start_rows")}
 UNION ALL
-{_RANKED.format(step="(SELECT max(step) FROM s) + 1", rows=_CONTRACTED)}  WHERE (SELECT max(step) FROM s) < {STEPS}
+{ranked.format(step="(SELECT max(step) FROM s) + 1", rows=contracted)}  WHERE (SELECT max(step) FROM s) < $steps
 )
-SELECT w, pos, tok, best IS NULL AS done FROM s WHERE best IS NULL OR step = {STEPS} ORDER BY w, pos
+SELECT w, pos, tok, best IS NULL AS done FROM s WHERE best IS NULL OR step = $steps ORDER BY w, pos
 """
+
+
+ENCODE, ENCODE_LONG = _recursive(_RANKED, _CONTRACTED), _recursive(_RANKED_LONG, _CONTRACTED_LONG)
 DECODE = "SELECT d, array_to_string(list(txt ORDER BY pos), '') AS txt FROM id_rows JOIN vocabulary USING (tok) GROUP BY d ORDER BY d"
 
 
@@ -68,6 +90,10 @@ class DuckBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
         self.bytes_to_token = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        inside = [t for t in ranks if len(t) > 1]
+        first, second = (np.frombuffer(b"".join(x), np.uint8) for x in ([t[:-1] for t in inside], [t[1:] for t in inside]))
+        self.side_by_side = np.zeros((256, 256), bool)
+        self.side_by_side[first, second] = True
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
         merges = merge_table(ranks)
         vocabulary = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "txt": [t.decode("latin-1") for t in ranks]})
@@ -76,30 +102,30 @@ class DuckBPE:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.cache = PieceCache(self.encode_pieces, most=1_200_000)
 
-    def run(self, name: str, rows: pa.Table, query: str) -> dict[str, np.ndarray]:
+    def run(self, name: str, rows: pa.Table, query: str, given: dict | None = None) -> dict[str, np.ndarray]:
         self.db.register(name, rows)
         try:
-            return self.db.execute(query).fetchnumpy()
+            return self.db.execute(query, given).fetchnumpy()
         finally:
             self.db.unregister(name)
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
-        raw = [w.encode() for w in words]
-        out: list[bytes] = [b""] * len(raw)
+    def contract(self, parts: list[bytes], query: str) -> list[bytes]:
+        """Ids of each part as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(parts)
         begin = 0
-        while begin < len(raw):
+        while begin < len(parts):
             end, size = begin, 0
-            while end < len(raw) and (end == begin or size + len(raw[end]) <= QUERY_BYTES):
-                size += len(raw[end])
+            while end < len(parts) and (end == begin or size + len(parts[end]) <= QUERY_BYTES):
+                size += len(parts[end])
                 end += 1
-            lengths = np.array([len(b) for b in raw[begin:end]])
-            flat = np.frombuffer(b"".join(raw[begin:end]), np.uint8)
+            lengths = np.array([len(b) for b in parts[begin:end]])
+            flat = np.frombuffer(b"".join(parts[begin:end]), np.uint8)
             w = np.repeat(np.arange(end - begin, dtype=np.int32), lengths)
             pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
             tok = self.bytes_to_token[flat]
             while len(w):
-                got = self.run("start_rows", pa.table({"w": w, "pos": pos, "tok": tok}), ENCODE)
+                steps = max(1, min(STEPS, STEP_ROWS // len(w)))
+                got = self.run("start_rows", pa.table({"w": w, "pos": pos, "tok": tok}), query, {"steps": steps})
                 done = got["done"]
                 ids, owner = got["tok"][done].astype("<u4"), got["w"][done]
                 data = ids.tobytes()
@@ -110,6 +136,24 @@ class DuckBPE:
             begin = end
         return out
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """The parts of a word between which no token can lie."""
+        flat = np.frombuffer(word, np.uint8)
+        cuts = (np.flatnonzero(~self.side_by_side[flat[:-1], flat[1:]]) + 1).tolist()
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        raw = [w.encode() for w in words]
+        if max(map(len, raw), default=0) <= LONG:
+            return self.contract(raw, ENCODE)
+        split = [self.cut(b) if len(b) > LONG else [b] for b in raw]
+        distinct = list(dict.fromkeys(p for parts in split for p in parts))
+        ids: dict[bytes, bytes] = {}
+        for query, parts in ((ENCODE, [p for p in distinct if len(p) <= LONG]), (ENCODE_LONG, [p for p in distinct if len(p) > LONG])):
+            ids.update(zip(parts, self.contract(parts, query)))
+        return [b"".join([ids[p] for p in parts]) for parts in split]
+
     def encode_pieces(self, pieces: list[str], _: int) -> list[bytes]:
         """Ids of texts whose words are new or known; words with a space before them are also kept."""
         known, find = self.cache.known, self.pattern.findall
