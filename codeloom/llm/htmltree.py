@@ -7,8 +7,9 @@ is kept where its content marginal is at least one half.  Unary and edge
 potentials are learned from labelled pages by maximum likelihood; ``labelled_pages`` makes a bounded set of them from page
 layouts with marked content.
 
-Broken markup is accepted: missing end tags are implied, stray ones ignored and
-unclosed pages closed.  A null or empty page has an empty text.  Rows are
+Broken markup is accepted, in linear time: missing end tags are implied, stray ones ignored and
+unclosed pages closed; a tag ends at the first ``>`` outside of a quoted value (where a quote is never
+closed, at the first one after it), or else with the page.  A null or empty page has an empty text.  Rows are
 independent, so repeated rows and null ids or urls pass through.
 """
 
@@ -42,8 +43,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_TAG_STOP = re.compile(r">|=\s*([\"'])")
+_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -57,11 +59,45 @@ class Node:
         self.size = self.linked = self.runs = self.below = self.sentences = 0
 
 
+class Scanner:
+    """Finds ends in one page; what it failed to find once, it doesn't look for again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of ``what``, or the page's length."""
+        found = -1 if what in self.gone else self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found if found >= 0 else len(self.page)
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose name ends at ``at``."""
+        while found := _TAG_STOP.search(self.page, at):
+            if not found[1]:
+                return found.start()
+            close = self.find(found[1], found.end())
+            if close == len(self.page):
+                return self.find(">", found.end())
+            at = close + 1
+        return len(self.page)
+
+    def close_of(self, tag: str, at: int) -> tuple[int, int] | None:
+        """Begin and end of the next end tag of an element whose content isn't markup."""
+        found = None if tag in self.gone else re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(self.page, at)
+        if not found:
+            self.gone.add(tag)
+            return None
+        return found.start(), min(len(self.page), self.find(">", found.end()) + 1)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements of a page, parents first, and its texts (node, text) in page order."""
     nodes, blocks, buffer = [Node("#root", -1, (), False, None, 0)], [], []
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones carry their block's node
-    links = 0
+    stack: list[tuple[str, int, int]] = [("#root", 0, 0)]  # open elements: inline ones carry their block's node; the last is the nearest entry that isn't inline
+    places: dict[str, list[int]] = {}  # of the open elements of a tag
+    scanner = Scanner(page)
 
     def flush() -> None:
         if buffer:
@@ -75,64 +111,71 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.sentences += text.count(". ") + text.count(", ") + text.endswith((".", "!", "?"))
                 blocks.append((at, text))
 
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node, stack[-1][2] if tag in INLINE else len(stack)))
+
     def pop(to: int) -> None:
-        nonlocal links
         if any(stack[k][1] != stack[k - 1][1] for k in range(to, len(stack))):
             flush()
-        for t, _ in stack[to:]:
-            links -= t == "a"
+        for t, _, _ in stack[to:]:
+            places[t].pop()
         del stack[to:]
 
+    def nearest(tags: frozenset[str] | set[str]) -> int:
+        """The place of the innermost open element of these; 0 where there is none."""
+        return max((own[-1] for t in tags if (own := places.get(t))), default=0)
+
     def add_text(text: str) -> None:
         if text:
             buffer.append(text)
-            if links:
+            if places.get("a"):
                 nodes[stack[-1][1]].linked += len(text)
 
     at, end = 0, len(page)
     while at < end:
-        found = _TOKEN.search(page, at)
-        if not found:
-            add_text(page[at:])
+        begin = scanner.find("<", at)
+        add_text(page[at:begin])
+        if begin == end:
             break
-        add_text(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
+        found = _TAG.match(page, begin)
+        if not found:
+            if page.startswith("<!--", begin):
+                at = scanner.find("-->", begin + 2) + 3
+            elif page.startswith(("<!", "<?", "</"), begin):
+                at = scanner.find(">", begin) + 1
+            else:
+                add_text("<")
+                at = begin + 1
             continue
-        if found[1]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+        at = scanner.tag_end(found.end()) + 1
+        tag, rest = found[1].lower(), page[found.end() : at - 1]
+        if page[begin + 1] == "/":
+            own = places.get(tag)
+            if own:
+                pop(own[-1])
+            elif tag == "p":
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
             continue
-        foreign = tag in FOREIGN or any(t in FOREIGN for t, _ in stack)
-        if foreign and found[3].rstrip().endswith("/"):
+        foreign = tag in FOREIGN or nearest(FOREIGN) > 0
+        closed = rest.endswith("/") or rest.rstrip().endswith("/")
+        if foreign and closed:
             add_text(" ")
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if not found[3].rstrip().endswith("/") or close:
-                at = close.end() if close else end
+            close = scanner.close_of(tag, at)
+            if not closed or close:
+                at = close[1] if close else end
             add_text(" ")
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if tag in CLOSES_P and stack[stack[-1][2]][0] == "p":
+            pop(stack[-1][2])
         if tag in CLOSED_BY:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in BARRIER[tag]:
+            barrier = nearest(BARRIER[tag])
+            while (k := nearest(CLOSED_BY[tag])) > barrier:
+                pop(k)
+                if tag not in ("tr", "tbody"):
                     break
-                if stack[k][0] in CLOSED_BY[tag]:
-                    pop(k)
-                    if tag not in ("tr", "tbody"):
-                        break
         if tag in FOREIGN:
             add_text(" ")
         if tag in INLINE or tag in VOID or (foreign and tag not in CLOSES_P):
@@ -141,26 +184,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             elif tag in VOID:
                 add_text(" ")
             else:
-                links += tag == "a"
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
             continue
         flush()
         attributes = {}
-        if found[3].strip():
-            attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(found[3])}
+        if rest.strip():
+            attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
         names = tuple(dict.fromkeys(w.lower() for k in ("class", "id", "role", "itemprop", "aria-label") for w in _NAME.findall(attributes.get(k, ""))))
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
         label = int(attributes["data-label"]) if "data-label" in attributes else None
         parent = stack[-1][1]
         nodes.append(Node(tag, parent, names, hidden, label, nodes[parent].depth + 1))
         nodes[-1].up = nodes[parent].tag
-        stack.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
         if tag in PLAIN:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            text = page[at : close.start() if close else end]
+            close = scanner.close_of(tag, at)
+            text = page[at : close[0] if close else end]
             add_text(text.replace("&", "&amp;"))  # no references in it
             pop(len(stack) - 1)
-            at = close.end() if close else end
+            at = close[1] if close else end
     flush()
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].below += nodes[i].below + nodes[i].size
@@ -354,7 +396,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
         if kind == 5:
             return f"<form><label>{words(2)}</label><input><p>{sentence(2, 9)}</p><button>{words(1)}</button></form>"
         if kind == 6:
-            own = "".join(f"<{x}{cls('comment', 'reply', 'response')}><p>{sentence(3, 60)}</p></{x}>" for x in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 5)))
+            own = "".join(f"<{x}{cls('comment', 'reply', 'response')}><p>{sentence(3, 60)}</p></{x}>" for x in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 5) if r.random() < 0.95 else 80))
             return f"<{x}{cls('comments', 'discussion', 'replies', 'disqus', 'responses', 'comment')}><h3>{words(2)}</h3>{own}</{x}>" if (x := r.choice(["div", "section", "ol"])) else ""
         if kind == 7:
             return f"<div{cls('share', 'social', 'author', 'meta', 'byline', 'login', 'search', 'legal', 'copyright', 'disclaimer')}>{text(15)}</div>"
@@ -393,7 +435,12 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
     for _ in range(n):
         title = r.choice([f"<h1>{sentence(2, 14)}</h1>", f"<h1>{sentence(2, 14)}</h1>", ""])
         plain = r.random() < 0.6
-        body = [mark(x, 1) for x in ([title] if title else []) + [paragraph(plain) for _ in range(r.choice([1, 1, 2, 3, 5, 8, 15, 30]))]]
+        if r.random() < 0.85:
+            paragraphs = [paragraph(plain) for _ in range(r.choice([1, 1, 2, 3, 5, 8, 15, 30]))]
+        else:  # long ones, and ones of like paragraphs
+            low, high = r.choice([(2, 6), (4, 9), (8, 20), (20, 60)])
+            paragraphs = [f"<p>{sentence(low, high)}</p>" for _ in range(r.choice([10, 30, 100, 300]))]
+        body = [mark(x, 1) for x in ([title] if title else []) + paragraphs]
         for _ in range(r.choice([0, 0, 0, 1, 2])):
             body.insert(r.randint(0, len(body)), mark(junk(), 0))
         inner = "".join(body)
