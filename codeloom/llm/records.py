@@ -81,7 +81,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, part, cache, schema = TaskContext.get().partitionId(), 0, hf_cache(vocabulary), arrow_schema(MANIFEST)
+        task, attempt, part, cache, schema = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, hf_cache(vocabulary), arrow_schema(MANIFEST)
         end = np.array([end_id], dtype="<u4").tobytes()
         out, index, ids = None, [], 0
 
@@ -94,7 +94,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0
             encoded = cache.documents(strings(batch.column(1)))
             for doc_id, tokens in zip(batch.column(0).to_pylist(), encoded):
                 if out is None:
-                    path = f"{folder}/{task:06d}-{part:04d}.rec"
+                    path = f"{folder}/{task:06d}-{attempt}-{part:04d}.rec"  # the manifest names the file of its own attempt
                     out, index, ids = OnceFile(path), [], 0
                 sequence = np.frombuffer(tokens + end, "<u4")
                 framed = frame(pack_sequence(doc_id, sequence))
