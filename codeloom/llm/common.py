@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is read from ``spark.checkpoint.dir``.  Only where that is unset (tests,
-    local runs) a new temporary folder is made and set.
+    It is read from ``spark.checkpoint.dir``.  Only where that is unset in local runs
+    (tests) a new temporary folder is made and set; on a cluster that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -28,9 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_ROOTS: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, below a folder of this process that goes when the driver's Python ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/codeloom/{spark.sparkContext.applicationId}-{os.getpid()}"
+    if not _ROOTS:
+        atexit.register(_clear, os.getpid())
+    _ROOTS.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _clear(owner: int) -> None:
+    """Delete this process's scratch folders; a file system that pyarrow can't open keeps them."""
+    for root in _ROOTS if os.getpid() == owner else ():
+        try:
+            files, at = pafs.FileSystem.from_uri(root)
+            files.delete_dir(at)
+        except (OSError, ValueError):
+            pass
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:

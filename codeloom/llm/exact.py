@@ -6,8 +6,8 @@ its identifier holds only if all of them are the same string.  A document is the
 its recipe, the ordered list of chunk identifiers; documents are equal when
 their recipes are, and only recipes move from there on.
 
-Null texts count as empty; empty texts have an empty recipe and are equal to each
-other.  A null doc_id is a document of its own and comes last in a tie.  Rows
+Null texts count as empty; empty texts have one chunk, the empty string, and are equal to
+each other.  A null doc_id is a document of its own and comes last in a tie.  Rows
 that repeat a doc_id count each; columns beside doc_id and text are ignored.
 """
 
@@ -50,10 +50,10 @@ def row_groups(docs: DataFrame, row: F.Column) -> DataFrame:
     rows = made.select("row", F.posexplode("digests").alias("at", "digest"))
     known = rows.join(verified, "digest").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]).alias("recipe"))
     listed = staged(made.select("row", "doc_id", "n_points", "text_sha256").join(known, "row", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<binary>"))), "listed")
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id"), (-F.col("row")).alias("minus_row")))
+    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row").alias("not_row")))  # not x falls as x grows, without overflow
     groups = staged(listed.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     both = listed.join(groups, "recipe")
-    return both.select("row", "doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.minus_row")).alias("kept"), "text_sha256")
+    return both.select("row", "doc_id", F.bitwise_not("best.not_id").alias("keep_id"), "group_size", (F.col("row") == F.bitwise_not("best.not_row")).alias("kept"), "text_sha256")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:

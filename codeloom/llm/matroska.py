@@ -165,15 +165,15 @@ def frame_ranges(data: bytes, at: int, end: int) -> tuple[int, int, list[tuple[i
     for size in sizes:
         ranges.append((at, at + size))
         at += size
-    if at > end:
-        raise ValueError("laced frames are longer than their block")
+    if at > end or min(sizes, default=0) < 0:
+        raise ValueError("the sizes of laced frames don't fit their block")
     return track, relative, [*ranges, (at, end)]
 
 
 def demux(data: bytes) -> dict:
     """The packet table of a Matroska file: packets (track, timestamp, start, end) and cues (time, track, position)."""
     packets, cues, clusters, duration, now, segment, scale, info = [], [], [], {}, 0, 0, 10**6, {}
-    cue = track = None
+    cue = cue_track = entry = None
     for i, start, at, end in elements(data, 0, len(data)):
         if i == SEGMENT:
             segment = at
@@ -187,18 +187,20 @@ def demux(data: bytes) -> dict:
             packets += [(number, int(now + relative + k * step), a, b) for k, (a, b) in enumerate(ranges)]
         elif i == TIMESTAMP_SCALE:
             scale = int.from_bytes(data[at:end], "big")
-        elif i == TRACK_NUMBER:
-            track = int.from_bytes(data[at:end], "big")
-        elif i == DEFAULT_DURATION:
-            duration[track] = int.from_bytes(data[at:end], "big")
+        elif i == TRACK_ENTRY:  # its number and duration come in any order
+            entry = {}
+        elif i in (TRACK_NUMBER, DEFAULT_DURATION) and entry is not None:
+            entry[i] = int.from_bytes(data[at:end], "big")
+            if len(entry) == 2:
+                duration[entry[TRACK_NUMBER]] = entry[DEFAULT_DURATION]
         elif i == CODEC_ID:
             info["codec"] = data[at:end].decode()
         elif i == CUE_TIME:
             cue = int.from_bytes(data[at:end], "big")
         elif i == CUE_TRACK:
-            track = int.from_bytes(data[at:end], "big")
+            cue_track = int.from_bytes(data[at:end], "big")
         elif i == CUE_CLUSTER_POSITION:
-            cues.append((cue, track, int.from_bytes(data[at:end], "big")))
+            cues.append((cue, cue_track, int.from_bytes(data[at:end], "big")))
     return info | {"packets": packets, "cues": cues, "clusters": clusters, "segment": segment}
 
 
