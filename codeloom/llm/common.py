@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -40,7 +42,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not _ROOTS:
         atexit.register(_clear, os.getpid())
     _ROOTS.add(root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    if _STAGE["open"]:
+        _STAGE["now"].append(path)
+    return path
+
+
+def released(spark: SparkSession, *made: DataFrame | str) -> None:
+    """Delete staged tables and scratch folders that nothing will read again."""
+    for x in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.staged_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_STAGE: dict = {"open": False, "now": [], "past": []}
+
+
+@contextlib.contextmanager
+def stage(docs: DataFrame):
+    """A step of a pipeline whose predecessor's result was written, as its ``docs`` show: what the predecessor staged is deleted.
+
+    Where ``docs`` still reads what the predecessor staged, all of that stays.
+    """
+    spark, past = docs.sparkSession, _STAGE["past"]
+    if past and not any(p.rsplit("/", 1)[-1] in f for f in docs.inputFiles() for p in past):
+        released(spark, *past)
+        gc.collect()  # plans that Python still holds keep their shuffle files
+        spark._jvm.System.gc()
+    _STAGE.update(open=True, now=[], past=[])
+    try:
+        yield
+    finally:
+        _STAGE.update(open=False, past=_STAGE["now"])
 
 
 def _clear(owner: int) -> None:
@@ -61,7 +94,9 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.staged_at = path
+    return read
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import released, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,12 +32,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self loops, repeated edges and either direction are fine; no edges, no rows.
     The number of rounds grows with the logarithm of the number of nodes; each
-    is written to the shared folder.
+    is written to the shared folder, so a lost executor costs the round's tasks that it held.
+    The end is a round that leaves the count and the sum of hashes of all edges as they were.
     """
     now = staged(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "edges")
     state = None
     while True:
-        now = staged(_small_star(_large_star(now)), "edges")
+        now, old = staged(_small_star(_large_star(now)), "edges"), now
+        released(edges.sparkSession, old)
         state, before = _state(now), state
         if state == before or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

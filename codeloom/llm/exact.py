@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, keep_rows, numbered, staged, table, text_of
+from .common import ROW, keep_rows, numbered, released, staged, table, text_of
 
 #: 1024 characters at least, then up to one of these letter pairs or 4096 characters; then what is left.
 CHUNK = r"(?s).{1024}(?:.{0,3070}?(?:an|en|er|he|in|io|ld|on|or|ri|st|ti)|.{0,3072})|.+"
@@ -50,6 +50,7 @@ def row_groups(docs: DataFrame, row: F.Column) -> DataFrame:
     rows = made.select("row", F.posexplode("digests").alias("at", "digest"))
     known = rows.join(verified, "digest").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]).alias("recipe"))
     listed = staged(made.select("row", "doc_id", "n_points", "text_sha256").join(known, "row", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<binary>"))), "listed")
+    released(docs.sparkSession, made, verified)
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row").alias("not_row")))  # not x falls as x grows, without overflow
     groups = staged(listed.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     both = listed.join(groups, "recipe")

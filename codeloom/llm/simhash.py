@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, OnceFile, arrow_schema, keep_rows, numbered, open_input, scratch, slices, staged, strings, table, text_of, write_once
+from .common import ROW, OnceFile, arrow_schema, keep_rows, numbered, open_input, released, scratch, slices, staged, strings, table, text_of, write_once
 from .components import components
 
 TILE = 8192
@@ -376,10 +376,12 @@ def drop_similar(docs: DataFrame, width: int = 5, share: float = 0.8, radius: in
     prints = staged(_set_prints(rows, store, width), "set-prints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "file", "at", "size", "raw")).alias("best")
     sets = staged(prints.groupBy("fp", "n", "digest").agg(best).select("fp", "n", "best.*"), "sets")
-    roots = components(staged(similar_sets(sets, store, width, share, radius), "links"))
+    links = staged(similar_sets(sets, store, width, share, radius), "links")
+    released(docs.sparkSession, store, prints)
+    roots = components(links)
     rooted = sets.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("component", F.coalesce("root", "row"))
     kept = rooted.groupBy("component").agg(F.min(F.struct("none", "doc_id", "row")).alias("best")).select("best.row")
-    return keep_rows(rows, kept)
+    return keep_rows(rows, staged(kept, "kept"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

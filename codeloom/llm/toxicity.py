@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, staged, strings, table, text_of
+from .common import arrow_schema, released, slices, staged, strings, table, text_of
 
 #: Bound of the model: labelled doc_ids it learns from.
 SAMPLE = 20_000
@@ -267,6 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     x = np.array([models[r["fold"]].features(r["n"], r["scores"]) for r in own_rows])
     model.weights = logistic(x, np.array([float(r["toxic"]) for r in own_rows])).tolist()
     model.known.clear()
+    released(docs.sparkSession, chosen, own, rows, weighed, counted)
     return model
 
 

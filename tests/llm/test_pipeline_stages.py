@@ -121,3 +121,22 @@ def test_pieces_hold_every_id(steps):
     for p in pieces:
         windows[p["sequence_id"]] = windows.get(p["sequence_id"], 0) + p["length"]
     assert max(windows.values()) <= 2048 and sum(windows.values()) >= 0.9 * 2048 * (len(windows) - 1)
+
+
+def test_a_stage_deletes_only_what_its_input_does_not_read(spark):
+    from codeloom.llm import common, exact
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab")], "doc_id long, text string")
+    first = common.staged(docs, "written-by-the-caller")
+    with common.stage(first):
+        lazy = exact.deduplicate(first)
+    with common.stage(lazy):  # not written: it still reads what the first stage left
+        again = exact.deduplicate(lazy)
+    assert again.count() == 1
+    with common.stage(first):
+        exact.deduplicate(first)
+    past = list(common._STAGE["past"])
+    assert past
+    with common.stage(first):
+        pass
+    assert all(not spark._jvm.java.io.File(p.removeprefix("file://")).exists() for p in past)
