@@ -46,7 +46,7 @@ def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 2, types: tup
     Each round joins only the last frontier and is written, so plans stay short and
     a lost executor costs one round.
     """
-    step = steps(edges_of(edges, *types), direction)
+    step = staged(steps(edges_of(edges, *types), direction), "steps")  # once, not in each round
     frontier = staged(starts.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen = frontier
     for depth in range(1, max_depth + 1):
@@ -60,7 +60,7 @@ def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 2, types: tup
 
 def reachability(edges: DataFrame, starts: DataFrame, max_depth: int = 4) -> DataFrame:
     """(start_id, id, depth) along outgoing edges of every type, each start on its own."""
-    step = steps(edges, "out")
+    step = staged(steps(edges, "out"), "steps")  # once, not in each round
     frontier = staged(starts.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("depth")).distinct(), "reach")
     seen = frontier
     for depth in range(1, max_depth + 1):

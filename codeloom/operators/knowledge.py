@@ -66,3 +66,13 @@ def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
         F.count_if(F.col("old") != F.col("new")).alias("changed"),
         F.count_if(F.col("old") == F.col("new")).alias("reused"),
     )
+
+
+def change_summary(changes: DataFrame) -> DataFrame:
+    """Counts of changes by scope and type."""
+    return changes.groupBy("scope", "type").agg(F.count("*").alias("n"))
+
+
+def replay(turns: DataFrame, key: str, order: str) -> DataFrame:
+    """The turns of each conversation, numbered in their order."""
+    return turns.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(order)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import guards, text
-from .operators import graph, knowledge, search
+from .operators import graph, knowledge, retrieval, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -417,3 +417,96 @@ def _(spark, d):
     from .streaming.telemetry import daily_usage
 
     return daily_usage(t(spark, d, "events"))
+
+
+# ---- candidates, evidence and states ----
+
+HINTS = [("licenseversion", ["license", "version"]), ("token", ["token"]), ("", ["apache", "zzz"])]
+
+
+def _strength(compact: str, parts: list[str]) -> str:
+    has = [f"contains(low, '{p}')" for p in parts]
+    return f"CASE WHEN {f'contains(low, {chr(39)}{compact}{chr(39)})' if compact else 'false'} THEN 3 WHEN {len(parts) >= 2} AND {' AND '.join(has)} THEN 2 WHEN {' OR '.join(has)} THEN 1 ELSE 0 END"
+
+
+@query("x9_entity_strength", f"SELECT doc_id, greatest({', '.join(_strength(*h) for h in HINTS)}) AS strength FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", retrieval.entity_strength(F.col("text"), HINTS).alias("strength"))
+
+
+@query(
+    "j17_known_facts",
+    "SELECT p_partkey AS path, p_size + CASE WHEN n > 0 THEN 6 ELSE 0 END AS score, coalesce(n, 0) AS n_facts, first_fact FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n, min(l_orderkey) AS first_fact FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey",
+)
+def _(spark, d):
+    facts = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("fact_id")).agg(F.collect_set("l_partkey").alias("paths"))  # an order has a few lines
+    return retrieval.apply_known_facts(t(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("score")), facts).select("path", "score", "n_facts", "first_fact")
+
+
+@query(
+    "u4_dedupe_candidates",
+    "SELECT type, path, label, score, ord FROM (SELECT *, row_number() OVER (PARTITION BY type, coalesce(path, label) ORDER BY score DESC, ord) AS rn FROM (SELECT lang AS type, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE source END AS path, source AS label, n_chars AS score, doc_id AS ord FROM documents)) WHERE rn = 1",
+)
+def _(spark, d):
+    docs = t(spark, d, "documents")
+    path = F.when(F.col("n_chars") % 3 == 0, F.lit(None)).otherwise(F.col("source"))
+    return retrieval.dedupe_candidates(docs.select(F.col("lang").alias("type"), path.alias("path"), F.col("source").alias("label"), F.col("n_chars").alias("score"), F.col("doc_id").alias("ord")))
+
+
+_PRIORITY_SQL = "CASE WHEN o_orderpriority = '1-URGENT' THEN 'critical' WHEN o_orderpriority = '2-HIGH' THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'supporting' ELSE 'other' END"
+
+
+@query("t7_ranked_candidates", f"SELECT score, priority, tokens, label FROM (SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS score, {_PRIORITY_SQL} AS priority, o_custkey AS tokens, CAST(o_orderkey AS VARCHAR) AS label FROM orders) ORDER BY score DESC, CASE priority WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'supporting' THEN 1 ELSE 0 END DESC, tokens, label LIMIT 40")
+def _(spark, d):
+    priority = F.expr(_PRIORITY_SQL)
+    orders = t(spark, d, "orders").select(F.floor(F.col("o_totalprice") / 50000).alias("score"), priority.alias("priority"), F.col("o_custkey").alias("tokens"), F.col("o_orderkey").cast("string").alias("label"))
+    return retrieval.rank_candidates(orders, 40)
+
+
+@query(
+    "w4_baseline",
+    "SELECT custkey, orderkey, tier FROM (SELECT *, row_number() OVER (PARTITION BY custkey ORDER BY tier, day DESC, orderkey) AS rn FROM (SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_orderdate AS day, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS tier FROM orders)) WHERE rn = 1",
+)
+def _(spark, d):
+    orders = t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_orderdate").alias("day"), "o_orderstatus", "o_orderpriority")
+    tiers = [(F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"), F.col("o_orderstatus") == "O"]
+    return retrieval.best_by_tier(orders, "custkey", tiers, "day", "orderkey").select("custkey", "orderkey", "tier")
+
+
+@query("x21_fingerprint", "SELECT l_orderkey AS orderkey, sha1(string_agg(part, chr(10) ORDER BY part)) AS fingerprint FROM (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) || ':' || l_returnflag AS part FROM lineitem) GROUP BY l_orderkey")
+def _(spark, d):
+    items = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.concat_ws(":", F.col("l_partkey").cast("string"), "l_returnflag").alias("part"))
+    return retrieval.fingerprint(items, "orderkey", F.col("part"))
+
+
+@query("f9_prefers_selective", "SELECT o_orderkey AS orderkey, o_totalprice > 100000 AND o_orderstatus <> 'P' AND NOT o_orderpriority = '5-LOW' AND o_custkey > 0 AND o_custkey <= 150 AS selective FROM orders")
+def _(spark, d):
+    profile = F.when(F.col("o_totalprice") > 100000, "large-repository").otherwise("plain")
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), retrieval.prefers_selective(profile, F.col("o_orderstatus") != "P", F.col("o_orderpriority") == "5-LOW", F.col("o_custkey")).alias("selective"))
+
+
+@query("j16_deleted_paths", "SELECT DISTINCT l_partkey AS path FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') UNION SELECT p_partkey FROM part WHERE p_size = 7")
+def _(spark, d):
+    items = t(spark, d, "lineitem").select(F.col("l_partkey").alias("path"), "l_returnflag")
+    return retrieval.deleted_paths(items.where("l_returnflag = 'R'"), items.where("l_returnflag = 'A'"), t(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("path")))
+
+
+@query("a3_change_summary", "SELECT o_orderstatus AS scope, o_orderpriority AS type, count(*) AS n FROM orders GROUP BY ALL")
+def _(spark, d):
+    return knowledge.change_summary(t(spark, d, "orders").select(F.col("o_orderstatus").alias("scope"), F.col("o_orderpriority").alias("type")))
+
+
+@query("w2_replay", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, role FROM conversations")
+def _(spark, d):
+    return knowledge.replay(t(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", F.col("ordinal").cast("long").alias("ordinal"), "role")
+
+
+@query("a5_module_relations", f"WITH {_NODES}, {_EDGES} SELECT source_id AS module_id, 'outgoing' AS direction, target_id AS other_id, label FROM edges JOIN nodes ON id = target_id WHERE type = 'DEPENDS_ON' AND source_id IN (SELECT id FROM nodes WHERE kind = 'part') UNION ALL SELECT target_id, 'incoming', source_id, label FROM edges JOIN nodes ON id = source_id WHERE type = 'DEPENDS_ON' AND target_id IN (SELECT id FROM nodes WHERE kind = 'part')")
+def _(spark, d):
+    nodes = graph_nodes(spark, d)
+    return retrieval.module_relations(nodes, graph_edges(spark, d), graph.nodes_of(nodes, "part"))
+
+
+@query("f3_node_by_id", f"WITH {_NODES} SELECT id, kind, label FROM nodes WHERE id = 'c1'")
+def _(spark, d):
+    return graph_nodes(spark, d).where(F.col("id") == "c1")

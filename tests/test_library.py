@@ -62,5 +62,5 @@ def test_status_rows(spark):
 def test_routes_and_calls():
     routes = code.scan_routes("Route::prefix('api')->middleware('auth')->group(function () {\n  Route::get('/u/{id}',\n    [UserController::class, 'show']);\n});\nRoute::post('x', 'C@m');")
     assert list(routes) == [("route", "GET /api/u/:param", 2, None, "UserController@show"), ("uses", "GET /api/u/:param", 2, None, "auth"), ("route", "POST /x", 5, None, "C@m")]
-    calls = [s[1] for s in code.scan_script("client.get(`/api/u/${id}`);\nfetch('/x', {method: 'post'});\nfetch('no');") if s[0] == "http-call"]
+    calls = [s[1] for s in code.scan_script("http.get(`/api/u/${id}`);\nfetch('/x', {method: 'post'});\nfetch('no');") if s[0] == "http-call"]
     assert calls == ["GET /api/u/:param", "POST /x"]
