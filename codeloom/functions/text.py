@@ -21,7 +21,7 @@ def normalize_path(path: Column) -> Column:
 
 def tokenize(text: Column, least: int = 2) -> Column:
     """Lower-case runs of Latin or Cyrillic letters, digits, '_', '/' and '-' of at least ``least`` characters."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9а-яё_/-]+"), lambda x: F.length(x) >= least)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9а-яё_/-]{%d,}" % least), F.lit(0))
 
 
 def score_text(text: Column, terms: list[str]) -> Column:

@@ -6,7 +6,7 @@ whose ends are missing are dropped where a node is asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
@@ -87,7 +87,8 @@ def fan_in_salted(reached: DataFrame, nodes: DataFrame, kind: str, salts: int =
 def module_dependencies(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """(source, target, type) between the modules of the ends of edges; ``membership`` has id and module."""
     a, b = (membership.select(F.col("id").alias(f"{x}_id"), F.col("module").alias(x)) for x in ("source", "target"))
-    return edges.join(a, "source_id").join(b, "target_id").where("source <> target").select("source", "target", "type").distinct()
+    from_module = edges.join(a, "source_id").select("source", "target_id", "type").distinct()  # before the second join, which then has a row a module and target
+    return from_module.join(b, "target_id").where("source <> target").select("source", "target", "type").distinct()
 
 
 def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
@@ -107,3 +108,100 @@ def merge_edges(previous: DataFrame, current: DataFrame, nodes: DataFrame) -> Da
     ids = nodes.select("id")
     kept = previous.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     return current.unionByName(kept.join(current.select("id"), "id", "left_anti").select(*current.columns))
+
+
+# ---- files, modules and entry points ----
+
+#: Relations that make one file need another, and those that lead from an entry point.
+FILE_NEEDS = ("IMPORTS", "REFERENCES", "CALLS", "USES", "READS", "WRITES", "CREATES")
+SYMBOL_NEEDS = ("IMPORTS", "REFERENCES", "CALLS", "USES", "IMPLEMENTS", "EXTENDS", "READS", "WRITES", "CREATES")
+ENTRY_NEEDS = ("REFERENCES", "CALLS", "USES", "BELONGS_TO")
+CODE_KINDS = ("class", "interface", "enum", "function", "method", "route", "http-call", "middleware", "variable", "type")
+
+
+def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file_id, id): nodes of other files that a file needs, itself or through a symbol that it declares.  Read from id to file_id it gives dependents."""
+    files = nodes_of(nodes, "file").select(F.col("id").alias("file_id"), F.col("file_path").alias("own_path"))
+    direct = files.join(edges_of(edges, *FILE_NEEDS).select(F.col("source_id").alias("file_id"), F.col("target_id").alias("id")), "file_id")
+    declared = edges.where("type = 'DECLARES'").select(F.col("source_id").alias("file_id"), F.col("target_id").alias("symbol_id"))
+    needs = edges_of(edges, *SYMBOL_NEEDS).select(F.col("source_id").alias("symbol_id"), F.col("target_id").alias("id"))
+    through = files.join(declared, "file_id").join(needs, "symbol_id").select("file_id", "own_path", "id")
+    met = direct.unionByName(through).distinct().join(nodes.select("id", "file_path"), "id")
+    return met.where("file_path is not null and not (file_path <=> own_path)").select("file_id", "id")
+
+
+def impact_preview(dependencies: DataFrame, edited: DataFrame, most: int = 8) -> DataFrame:
+    """(id, file_id, place): of each edited node (id) the first ``most`` files that need it."""
+    met = dependencies.join(edited.select("id").distinct(), "id", "left_semi")
+    return met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("file_id"))).where(F.col("place") <= most)
+
+
+def around(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, types: tuple[str, ...] = (), direction: str = "both") -> DataFrame:
+    """The nodes of ``seeds`` (id) and all that one step along edges of some types leads to."""
+    moved = steps(edges_of(edges, *types), direction).join(seeds.select(F.col("id").alias("at")).distinct(), "at", "left_semi").select(F.col("to").alias("id"))
+    return nodes.join(seeds.select("id").unionByName(moved).distinct(), "id", "left_semi").select(*nodes.columns)
+
+
+def entry_set(nodes: DataFrame, edges: DataFrame, kind: str = "route", module: str | None = None, most: int = 24) -> DataFrame:
+    """Entry points with what they lead to; with a module its own entry points and the first ``most`` nodes around it, by id."""
+    starts, extra = nodes_of(nodes, kind).select("id"), None
+    if module is not None:
+        near = around(nodes, edges, nodes.where((F.col("kind") == "module") & (F.col("label") == module)).select("id"))
+        starts = near.where(F.col("kind") == kind).select("id")
+        extra = near.where(~F.col("kind").isin("project", "repository")).orderBy("id").limit(most).select("id")
+    found = around(nodes, edges, starts, ENTRY_NEEDS, "out")
+    return found if extra is None else nodes.join(found.select("id").unionByName(extra).distinct(), "id", "left_semi").select(*nodes.columns)
+
+
+def broad_seeds(nodes: DataFrame, quota: dict[str, int], order: str = "id") -> DataFrame:
+    """The first nodes of each kind, as many as its quota."""
+    quotas = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in quota.items()], F.lit(0))
+    own = nodes_of(nodes, *quota).withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(order)))
+    return own.where(F.col("place") <= max(quota.values())).where(F.col("place") <= quotas)
+
+
+def neighbour_paths(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Distinct paths of both ends of every edge that touches a node of one of ``paths`` (path)."""
+    located = nodes.where("file_path is not null").select("id", "file_path")
+    hit = located.join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select("id")
+    ends = steps(edges).join(hit.withColumnRenamed("id", "at"), "at", "left_semi")
+    both = ends.select(F.explode(F.array("at", "to")).alias("id")).distinct()
+    return located.join(both, "id", "left_semi").select(F.col("file_path").alias("path")).distinct()
+
+
+def with_label_fallback(files: DataFrame, values: DataFrame) -> DataFrame:
+    """Files (path) with the value (path, value) of their path, else of their path without its first part."""
+    bare = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "^[^/]*/", ""))
+    direct = files.withColumn("_bare", bare).join(values.select("path", F.col("value").alias("_direct")), "path", "left")
+    return direct.join(values.select(F.col("path").alias("_bare"), F.col("value").alias("_else")), "_bare", "left").select(*files.columns, F.coalesce("_direct", "_else").alias("value"))
+
+
+def without_bare_duplicates(files: DataFrame) -> DataFrame:
+    """Distinct paths without those that another one is with a label before it."""
+    own = files.select("path").where("path is not null").distinct()
+    return own.join(own.where(F.contains("path", F.lit("/"))).select(F.regexp_replace("path", "^[^/]*/", "").alias("path")), "path", "left_anti")
+
+
+def fan_in_within(edges: DataFrame, starts: DataFrame, nodes: DataFrame, kind: str, max_depth: int = 4) -> DataFrame:
+    """(id, n_starts) like :func:`fan_in` after :func:`reachability`, following only what can reach the kind in the steps left.
+
+    First the nodes from which the kind can be reached in at most k steps, walking back;
+    then the pairs of start and node forward, kept only where they can still arrive.
+    Pairs that arrive are made distinct and counted; a node that all reach is summed in each task first.
+    """
+    step = staged(steps(edges, "out").distinct(), "steps")
+    goal = staged(nodes_of(nodes, kind).select("id").distinct(), "goal")
+    alive, near = [goal], goal
+    for _ in range(max_depth - 1):
+        back = step.join(near.withColumnRenamed("id", "to"), "to", "left_semi").select(F.col("at").alias("id"))
+        near = staged(near.unionByName(back).distinct(), "near")
+        alive.append(near)
+    frontier, arrived = starts.select(F.col("id").alias("start_id"), "id").distinct(), None
+    for depth in range(1, max_depth + 1):
+        # after this step at most max_depth - depth are left
+        led = step.join(alive[max_depth - depth].withColumnRenamed("id", "to"), "to", "left_semi")
+        moved = frontier.withColumnRenamed("id", "at").join(led, "at").select("start_id", F.col("to").alias("id")).distinct()
+        frontier = staged(moved, "pairs")
+        hit = frontier.join(goal, "id", "left_semi").select("start_id", "id")
+        arrived = hit if arrived is None else arrived.unionByName(hit)
+    return arrived.where("start_id <> id").distinct().groupBy("id").agg(F.count("*").alias("n_starts"))

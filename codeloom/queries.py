@@ -117,14 +117,17 @@ def _(spark, d):
 
 
 @query("f10_security_findings", r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
-SELECT doc_id, CAST(line AS BIGINT) AS line, 'bare-token' AS category FROM l WHERE regexp_matches(s, '(?i)\b(token|secret|password|passwd|api[_-]?key)\s*[=:]\s*["''][^"'']{8,}["'']') AND NOT regexp_matches(s, '(?i)example|placeholder|changeme|your[_-]|xxxx')
-UNION ALL SELECT doc_id, CAST(line AS BIGINT), 'sql-injection' FROM l WHERE regexp_matches(s, '(?i)(select|insert|update|delete)\b.*(\+|\$\{|\|\|)') AND NOT regexp_matches(s, '^\s*(//|#)')
-UNION ALL SELECT doc_id, CAST(line AS BIGINT), 'dangerous-eval' FROM l WHERE regexp_matches(s, '\b(eval|exec|system|shell_exec|passthru)\s*\(') AND NOT regexp_matches(s, '^\s*(//|#)')
-UNION ALL SELECT doc_id, CAST(line AS BIGINT), 'path-traversal' FROM l WHERE regexp_matches(s, '\.\./\.\./') AND NOT regexp_matches(s, '^\s*(//|#|import\b)')""")
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+k AS (SELECT *, regexp_extract(s, '(?i)(?:^|\W)(?:api[_-]?key|apikey|secret|secret[_-]?key|password|passwd|access[_-]?token|auth[_-]?token|private[_-]?key|client[_-]?secret)\s*[:=]\s*["'']([^"'']{8,})["'']', 1) AS v FROM l),
+f AS (SELECT doc_id, line, 'hardcoded-secret' AS category FROM k WHERE v <> '' AND NOT regexp_matches(v, '(?i)^(x{3}|your[-_]|example|change-?me|placeholder|dummy|fake|test|sample|000|<[^>]*>|\{\{.*\}\}|\.\.\.|%s|\$\{)') AND NOT regexp_matches(source, '(?i)(^|\W)(tests?|specs?|fixtures?|__tests__|__mocks__|mocks?|examples?)(\W|$)')
+UNION ALL SELECT doc_id, line, 'bare-token' FROM l WHERE regexp_matches(s, '(?i)(^|\W)token\s*[=:]\s*["''][0-9a-f]{40}["'']')
+UNION ALL SELECT doc_id, line, 'sql-injection' FROM l WHERE (regexp_matches(s, '(?i)\bselect\b[^;]*\bfrom\b') OR regexp_matches(s, '(?i)\binsert\s+into\b') OR regexp_matches(s, '(?i)\bupdate\b[^;]*\bset\b') OR regexp_matches(s, '(?i)\bdelete\s+from\b')) AND (regexp_matches(s, '["''`]\s*\.\s*\$\w+') OR regexp_matches(s, '\$\w+\s*\.\s*["''`]') OR regexp_matches(s, '["''`]\s*\+\s*\w+') OR regexp_matches(s, '\$\{[^}]+\}'))
+UNION ALL SELECT doc_id, line, 'dangerous-eval' FROM l WHERE regexp_matches(s, '\b(eval|exec|system|shell_exec|passthru|proc_open|popen)\s*\(\s*(\$|["''`]\s*\.|`[^`]*\$\{)') OR regexp_matches(s, 'new\s+Function\s*\(')
+UNION ALL SELECT doc_id, line, 'path-traversal' FROM l WHERE regexp_matches(s, '(?i)\b(fopen|file_get_contents|file_put_contents|readFileSync|require|include|include_once|require_once)\s*\([^)]*\$_(GET|POST|REQUEST|COOKIE)\b') OR regexp_matches(s, '(?i)\.\./[^"'']*\$_(GET|POST|REQUEST)\b'))
+SELECT doc_id, CAST(line AS BIGINT) AS line, category FROM f""")
 def _(spark, d):
-    line = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "s"))
-    return line.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.explode(guards.findings(F.col("s"))).alias("category"))
+    line = t(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("at", "s"))
+    return line.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.explode(guards.findings(F.col("s"), F.col("source"))).alias("category"))
 
 
 # ---- search ----
@@ -284,39 +287,22 @@ def _(spark, d):
     return graph.traverse(graph_edges(spark, d), nodes.where("id = 'r0'"), 2, ("BELONGS_TO",))
 
 
-@query("g2_reachability", f"""
-WITH RECURSIVE {_EDGES},
-r AS (SELECT 'o' || o_orderkey AS start_id, 'o' || o_orderkey AS id, 0 AS depth FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' UNION SELECT start_id, target_id, depth + 1 FROM r JOIN edges ON source_id = id WHERE depth < 4)
-SELECT start_id, id, min(depth) AS depth FROM r GROUP BY ALL""")
-def _(spark, d):
-    starts = t(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
-    return graph.reachability(graph_edges(spark, d), starts, 4)
-
-
-@query("a7_fan_in", f"""
-WITH RECURSIVE {_EDGES},
-r AS (SELECT 'o' || o_orderkey AS start_id, 'o' || o_orderkey AS id, 0 AS depth FROM orders WHERE o_orderstatus = 'P' UNION SELECT start_id, target_id, depth + 1 FROM r JOIN edges ON source_id = id WHERE depth < 3)
-SELECT id, count(DISTINCT start_id) AS n_starts FROM r WHERE id LIKE 's%' GROUP BY id""")
-def _(spark, d):
-    starts = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
-    return graph.fan_in(graph.reachability(graph_edges(spark, d), starts, 3), graph_nodes(spark, d), "supplier")
-
-
-# From all orders; without SQL twins, tests hold them against brute force.
-
-
 def _all_orders(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes_of(graph_nodes(spark, d), "order").select("id")
 
 
-@query("g2_reachability_all")
+_REACHED = f"""WITH RECURSIVE {_EDGES},
+r AS (SELECT 'o' || o_orderkey AS start_id, 'o' || o_orderkey AS id, 0 AS depth FROM orders UNION SELECT start_id, target_id, depth + 1 FROM r JOIN edges ON source_id = id WHERE depth < %d)"""
+
+
+@query("g2_reachability", _REACHED % 4 + " SELECT start_id, id, min(depth) AS depth FROM r GROUP BY ALL")
 def _(spark, d):
     return graph.reachability(graph_edges(spark, d), _all_orders(spark, d), 4)
 
 
-@query("a7_fan_in_all")
+@query("a7_fan_in", _REACHED % 3 + " SELECT id, count(DISTINCT start_id) AS n_starts FROM r WHERE id LIKE 's%' GROUP BY id")
 def _(spark, d):
-    return graph.fan_in_salted(graph.reachability(graph_edges(spark, d), _all_orders(spark, d), 3), graph_nodes(spark, d), "supplier")
+    return graph.fan_in_within(graph_edges(spark, d), _all_orders(spark, d), graph_nodes(spark, d), "supplier", 3)
 
 
 @query("j9_link_calls", r"""
@@ -335,44 +321,41 @@ def _(spark, d):
     return a.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query("j15_merge_graph", """
-WITH prev AS (SELECT doc_id AS id, source AS file_path, sha1(text) AS hash FROM documents WHERE doc_id % 3 <> 0), cur AS (SELECT doc_id AS id, source AS file_path, sha1(text) AS hash FROM documents WHERE doc_id % 3 <> 1)
-SELECT * FROM cur UNION ALL SELECT * FROM prev WHERE file_path NOT IN ('src1', 'src2') AND id NOT IN (SELECT id FROM cur)""")
+# The labelled documents stand for the current state, toxic ones as changed; all documents for the earlier one.
+_STATES = "p AS (SELECT doc_id AS id, source AS file_path, sha1(text) AS hash FROM documents), c AS (SELECT doc_id AS id, source AS file_path, CASE WHEN toxic = 1 THEN 'x' ELSE sha1(text) END AS hash FROM documents JOIN labels USING (doc_id))"
+
+
+def states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = t(spark, d, "documents")
+    now = docs.join(t(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.when(F.col("toxic") == 1, F.lit("x")).otherwise(F.sha1("text")).alias("hash"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.sha1("text").alias("hash")), now
+
+
+@query("j15_merge_graph", f"WITH {_STATES} SELECT * FROM c UNION ALL SELECT * FROM p WHERE file_path NOT IN ('src1', 'src2') AND id NOT IN (SELECT id FROM c)")
 def _(spark, d):
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.sha1("text").alias("hash"))
-    invalid = spark.createDataFrame([("src1",), ("src2",)], "path string")
-    return graph.merge_graph(docs.where("id % 3 <> 0"), docs.where("id % 3 <> 1"), invalid)
+    return graph.merge_graph(*states(spark, d), spark.createDataFrame([("src1",), ("src2",)], "path string"))
 
 
 # ---- knowledge, memory, telemetry ----
 
 
-@query("j14_snapshot_diff", """
-WITH p AS (SELECT doc_id AS id, sha1(text) AS old FROM documents WHERE doc_id % 5 <> 0), c AS (SELECT doc_id AS id, sha1(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS new FROM documents WHERE doc_id % 5 <> 1)
-SELECT count(*) FILTER (old IS NULL) AS added, count(*) FILTER (new IS NULL) AS removed, count(*) FILTER (old <> new) AS changed, count(*) FILTER (old = new) AS reused FROM p FULL JOIN c USING (id)""")
+@query("j14_snapshot_diff", f"WITH {_STATES} SELECT count(*) FILTER (p.id IS NULL) AS added, count(*) FILTER (c.id IS NULL) AS removed, count(*) FILTER (p.hash <> c.hash) AS changed, count(*) FILTER (p.hash = c.hash) AS reused FROM p FULL JOIN c ON p.id = c.id")
 def _(spark, d):
-    docs = t(spark, d, "documents")
-    p = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), F.sha1("text").alias("hash"))
-    c = docs.where("doc_id % 5 <> 1").select(F.col("doc_id").alias("id"), F.sha1(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("hash"))
-    return knowledge.snapshot_diff(p, c)
+    return knowledge.snapshot_diff(*states(spark, d))
 
 
-@query("j21_fact_status", """
-WITH f AS (SELECT source AS id, doc_id AS path, sha1(text) AS hash FROM documents), n AS (SELECT doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE sha1(text) END AS now_hash FROM documents WHERE doc_id % 9 <> 0)
-SELECT id, bool_or(coalesce(hash = now_hash, false)) AS valid, NOT bool_and(coalesce(hash = now_hash, false)) AS stale_any FROM f LEFT JOIN n USING (path) GROUP BY id""")
+@query("j21_fact_status", f"WITH {_STATES} SELECT p.file_path AS id, bool_or(coalesce(p.hash = c.hash, false)) AS valid, NOT bool_and(coalesce(p.hash = c.hash, false)) AS stale_any FROM p LEFT JOIN c ON p.id = c.id GROUP BY p.file_path")
 def _(spark, d):
-    docs = t(spark, d, "documents")
-    facts = docs.select(F.col("source").alias("id"), F.col("doc_id").alias("path"), F.sha1("text").alias("hash"))
-    files = docs.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 4 == 0, F.lit("x")).otherwise(F.sha1("text")).alias("hash"))
-    return knowledge.fact_status(facts, files)
+    before, now = states(spark, d)
+    return knowledge.fact_status(before.select(F.col("file_path").alias("id"), F.col("id").alias("path"), "hash"), now.select(F.col("id").alias("path"), "hash"))
 
 
 @query("a14_merge_facts", """
 WITH b AS (SELECT source AS id, quality AS confidence, lang FROM documents JOIN labels USING (doc_id))
 SELECT id, max(confidence) AS confidence, list_sort(list(DISTINCT lang)) AS paths FROM b GROUP BY id""")
 def _(spark, d):
-    facts = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(F.col("source").alias("id"), F.col("quality").alias("confidence"), F.array("lang").alias("paths"), "doc_id")
-    return knowledge.merge_facts(facts.where("doc_id % 2 = 0").drop("doc_id"), facts.where("doc_id % 2 = 1").drop("doc_id"))
+    facts = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(F.col("source").alias("id"), F.col("quality").alias("confidence"), F.array("lang").alias("paths"), "toxic")
+    return knowledge.merge_facts(facts.where("toxic = 1").drop("toxic"), facts.where("not coalesce(toxic = 1, false)").drop("toxic"))
 
 
 @query("a15_merge_glossary", "SELECT source AS project, lower(lang) AS term, arg_max(sha1(text), (quality, doc_id)) AS definition, max(quality) AS confidence FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
@@ -510,3 +493,6 @@ def _(spark, d):
 @query("f3_node_by_id", f"WITH {_NODES} SELECT id, kind, label FROM nodes WHERE id = 'c1'")
 def _(spark, d):
     return graph_nodes(spark, d).where(F.col("id") == "c1")
+
+
+from . import state_queries  # noqa: E402,F401  registers its own
