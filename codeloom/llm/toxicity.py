@@ -318,4 +318,4 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
     found = score_documents(docs, model)
-    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_tokens", "passages")
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
