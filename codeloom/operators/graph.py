@@ -77,13 +77,6 @@ def fan_in(reached: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     return reached.where("depth > 0").join(nodes_of(nodes, kind).select("id"), "id").groupBy("id").agg(F.countDistinct("start_id").alias("n_starts"))
 
 
-def fan_in_salted(reached: DataFrame, nodes: DataFrame, kind: str, salts: int = 64) -> DataFrame:
-    """Like :func:`fan_in`; starts are dealt over salts, made distinct there and counted, so that a node which all reach isn't one task's."""
-    hits = reached.where("depth > 0").select("start_id", "id").join(nodes_of(nodes, kind).select("id"), "id")
-    part = hits.withColumn("salt", F.pmod(F.xxhash64("start_id"), F.lit(salts))).groupBy("id", "salt").agg(F.countDistinct("start_id").alias("n"))
-    return part.groupBy("id").agg(F.sum("n").alias("n_starts"))
-
-
 def module_dependencies(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """(source, target, type) between the modules of the ends of edges; ``membership`` has id and module."""
     a, b = (membership.select(F.col("id").alias(f"{x}_id"), F.col("module").alias(x)) for x in ("source", "target"))
