@@ -178,23 +178,23 @@ def without_bare_duplicates(files: DataFrame) -> DataFrame:
 def fan_in_within(edges: DataFrame, starts: DataFrame, nodes: DataFrame, kind: str, max_depth: int = 4) -> DataFrame:
     """(id, n_starts) like :func:`fan_in` after :func:`reachability`, following only what can reach the kind in the steps left.
 
-    First the nodes from which the kind can be reached in at most k steps, walking back;
-    then the pairs of start and node forward, kept only where they can still arrive.
-    Pairs that arrive are made distinct and counted; a node that all reach is summed in each task first.
+    First, walking back, the nodes from which the kind can be reached in at most k
+    steps; then pairs of start and node forward, kept only where a further step can
+    still arrive.  What arrives isn't written but made distinct and counted at once; a
+    node that all reach is summed in each task first.
     """
     step = staged(steps(edges, "out").distinct(), "steps")
     goal = staged(nodes_of(nodes, kind).select("id").distinct(), "goal")
-    alive, near = [goal], goal
-    for _ in range(max_depth - 1):
-        back = step.join(near.withColumnRenamed("id", "to"), "to", "left_semi").select(F.col("at").alias("id"))
-        near = staged(near.unionByName(back).distinct(), "near")
-        alive.append(near)
-    frontier, arrived = starts.select(F.col("id").alias("start_id"), "id").distinct(), None
-    for depth in range(1, max_depth + 1):
-        # after this step at most max_depth - depth are left
-        led = step.join(alive[max_depth - depth].withColumnRenamed("id", "to"), "to", "left_semi")
-        moved = frontier.withColumnRenamed("id", "at").join(led, "at").select("start_id", F.col("to").alias("id")).distinct()
-        frontier = staged(moved, "pairs")
-        hit = frontier.join(goal, "id", "left_semi").select("start_id", "id")
+    leading = lambda ids: step.join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+    alive = [goal]
+    for _ in range(max_depth - 2):
+        alive.append(staged(alive[-1].unionByName(leading(alive[-1]).select(F.col("at").alias("id"))).distinct(), "near"))
+    last, frontier, arrived = leading(goal), starts.select(F.col("id").alias("start_id"), "id").distinct(), None
+    for left in range(max_depth - 1, -1, -1):
+        moved = frontier.withColumnRenamed("id", "at")
+        hit = moved.join(last, "at").select("start_id", F.col("to").alias("id"))
         arrived = hit if arrived is None else arrived.unionByName(hit)
+        if left:
+            useful = leading(alive[left - 1]).select(F.col("at").alias("id")).distinct()
+            frontier = staged(moved.join(leading(useful), "at").select("start_id", F.col("to").alias("id")).distinct(), "pairs")
     return arrived.where("start_id <> id").distinct().groupBy("id").agg(F.count("*").alias("n_starts"))
