@@ -11,6 +11,8 @@ from .exact import ORACLE_SQL as EXACT_SQL
 from .exact import op10_exact_dedup
 from .htmltree import op5_html_text
 from .matroska import op8_matroska
+from .merkle import ORACLE_SQL as MERKLE_SQL
+from .merkle import op11_merkle_manifest
 from .packing import op3_packing
 from .records import op2_token_records
 from .simhash import op6_simhash
@@ -30,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_matroska": op8_matroska,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op4_warc_revisits": WARC_SQL, "op10_exact_dedup": EXACT_SQL}
+ORACLES: dict[str, str] = {"op4_warc_revisits": WARC_SQL, "op10_exact_dedup": EXACT_SQL, "op11_merkle_manifest": MERKLE_SQL}
