@@ -19,8 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder; what is there goes when the driver ends, on any file system that Spark writes."""
+    root = f"{shared_dir(spark).rstrip('/')}/codeloom-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.staged_at = path
+    return read
+
+
+def released(*made: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in made:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
