@@ -173,10 +173,12 @@ ROW = "__row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """A written copy of ``docs`` whose column ``ROW`` names each row, whatever its ids."""
-    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """A written copy of ``docs`` whose last column ``ROW`` names each row, whatever its ids; a column of that name gets another."""
+    free = next(x for i in range(len(docs.columns) + 1) if (x := f"{ROW}{i}") not in {c.lower() for c in docs.columns})
+    renamed = docs.toDF(*[free if c.lower() == ROW else c for c in docs.columns])
+    return staged(renamed.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``numbered`` whose number is in ``kept`` (column row), without the number."""
-    return rows.join(kept.select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW)
+def keep_rows(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``numbered`` whose number is in ``kept`` (column row), without the number and under their own ``columns``."""
+    return rows.join(kept.select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW).toDF(*columns)

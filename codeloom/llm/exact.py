@@ -65,7 +65,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay."""
     rows = numbered(docs)
-    return keep_rows(rows, row_groups(rows, F.col(ROW)).where("kept"))
+    return keep_rows(rows, row_groups(rows, F.col(ROW)).where("kept"), docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,7 @@ def deduplicate(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     named = rows.select(F.col(ROW).alias("row"), "doc_id")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     kept = found.join(named, "row").groupBy("component").agg(best).select(F.col("best.row").alias("row"))
-    return keep_rows(rows, kept)
+    return keep_rows(rows, kept, docs.columns)
 
 
 # ---- similar shingle sets ----
@@ -323,12 +323,12 @@ def similar_sets(sets: DataFrame, store: str, width: int, share: float, radius:
     if not cells:
         return spark.createDataFrame([], "a long, b long")
     tiles = _size_tiles([tuple(x) for x in cells])
-    pairs = []
-    for i, (*_, high, chunks) in enumerate(tiles):
+    near = []  # of runs of sizes, as few as those
+    for i, (_, _, _, high, _) in enumerate(tiles):
         for j in range(i, len(tiles)):
             if high + 1e-9 < share * tiles[j][2]:
                 break
-            pairs += [(i, x, j, y) for x in range(chunks) for y in range(x if i == j else 0, tiles[j][4])]
+            near.append((i, j))
     layout = spark.createDataFrame([(k, i, tile[4]) for i, tile in enumerate(tiles) for k in range(tile[0], tile[1] + 1)], "bucket int, tile int, chunks int")
     placed = sized.join(F.broadcast(layout), "bucket").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     names = list(_ENTRY.names)
@@ -345,8 +345,10 @@ def similar_sets(sets: DataFrame, store: str, width: int, share: float, radius:
                 write_once(f"{store}/tile-{batch.column(0)[i]}-{batch.column(1)[i]}", data.tobytes())
             yield batch.select([0, 1])
 
-    present = {tuple(x) for x in staged(grouped.mapInArrow(write, "tile int, chunk int"), "tiles").collect()}  # a row per tile
-    pairs = [x for x in pairs if x[:2] in present and x[2:] in present]
+    present = staged(grouped.mapInArrow(write, "tile int, chunk int"), "tiles")
+    a, b = (present.select(F.col("tile").alias(f"tile_{x}"), F.col("chunk").alias(f"chunk_{x}")) for x in "ab")
+    pairs = a.join(F.broadcast(spark.createDataFrame(near, "tile_a int, tile_b int")), "tile_a").join(b, "tile_b").where("tile_a < tile_b or chunk_a <= chunk_b")
+    pairs = staged(pairs.select("tile_a", "chunk_a", "tile_b", "chunk_b"), "tile-pairs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = _Sets(store, width)
@@ -361,7 +363,8 @@ def similar_sets(sets: DataFrame, store: str, width: int, share: float, radius:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    dealt = spark.createDataFrame(pairs, "tile_a int, chunk_a int, tile_b int, chunk_b int").repartition(min(len(pairs), 1000))
+    tasks = max(1000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.repartition(max(1, min(pairs.count(), tasks)))
     return dealt.mapInArrow(compare, "a long, b long")
 
 
@@ -381,7 +384,7 @@ def drop_similar(docs: DataFrame, width: int = 5, share: float = 0.8, radius: in
     roots = components(links)
     rooted = sets.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("component", F.coalesce("root", "row"))
     kept = rooted.groupBy("component").agg(F.min(F.struct("none", "doc_id", "row")).alias("best")).select("best.row")
-    return keep_rows(rows, staged(kept, "kept"))
+    return keep_rows(rows, staged(kept, "kept"), docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ hash; all of them where there are fewer).  Tokens are words and, marked with ``*
 the beginnings of words; a token counts once a document.  Copies aren't evidence of
 their own: documents of one label whose least hash of five words in a row is the
 same share the weight of one.  A token's score is the log-odds of its rate in toxic
-against other documents under a Dirichlet prior drawn from both.  Only tokens carry
+against other documents under a Dirichlet prior drawn from both.  A beginning is a token
+only if ``AGREE`` different words or more that begin so, each met in two documents at
+least, lean the same way, three in four of all such words, and if no longer beginning has just
+the same words: one vile word says nothing of the plain words that begin alike.  Only tokens carry
 their score whose log-odds are strong and significant at a level that is divided by the
 number of tokens tested; a word takes its own score, else that of its longest
 beginning that has one, and any other word costs ``GAP``.  A linear scan finds all
@@ -14,8 +17,8 @@ maximal-scoring segments of a text.
 Extreme-value parameters turn a segment's score into the expected number of chance
 hits in a clean text of that length: the scale from the clean token rates, the
 constant from segments of clean documents.  A logistic curve with weights that are
-never negative maps the calibrated best segment and the total of the significant
-ones to a probability.  Constant and curve are fitted on documents that took no part in the
+never negative maps the calibrated best segment, and what the other significant
+ones add to it, to a probability.  Constant and curve are fitted on documents that took no part in the
 counts behind the scores they get there (``FOLDS`` parts, copies in the same one).
 
 A null or empty text has no tokens and gets the score of a text without hits.
@@ -45,8 +48,8 @@ from .common import arrow_schema, released, slices, staged, strings, table, text
 #: Bound of the model: labelled doc_ids it learns from.
 SAMPLE = 20_000
 GAP, LEAST_LOG_ODDS, LEVEL, PRIOR, FLAT, SIGNIFICANT, FOLDS = -0.25, 1.0, 0.05, 0.001, 0.5, 0.05, 4
-#: Lengths of the beginnings that are tokens too.
-STEMS = (4, 5, 6, 7, 8)
+#: Lengths of the beginnings that are tokens too, and in how many words, and in what share of all, a beginning must lean one way.
+STEMS, AGREE, AGREED = (4, 5, 6, 7, 8), 4, 0.75
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -126,10 +129,10 @@ class Model:
         return self.constant * max(1, n) * math.exp(-min(700.0, self.rate * score))
 
     def features(self, n: int, scores: list[float]) -> list[float]:
-        """1, the best segment's calibrated score, and the total of the significant ones."""
+        """1, the best segment's calibrated score, and the total of the other significant ones."""
         level = math.log(self.constant * max(1, n))
-        normal = [self.rate * s - level for s in scores]
-        return [1.0, max([*normal, -10.0]) / 10, math.log1p(sum(x for x in normal if x > -math.log(SIGNIFICANT)))]
+        best, *rest = sorted([*(self.rate * s - level for s in scores), -10.0], reverse=True)
+        return [1.0, best / 10, math.log1p(sum(x for x in rest if x > -math.log(SIGNIFICANT)))]
 
     def probability(self, n: int, scores: list[float]) -> float:
         z = sum(a * b for a, b in zip(self.weights, self.features(n, scores)))
@@ -196,6 +199,15 @@ def scores_of(counts: np.ndarray, clean_and_toxic: np.ndarray, least_z: float) -
     return np.where((z >= least_z) & (np.abs(odds) >= LEAST_LOG_ODDS), odds, 0), b / (no + whole)
 
 
+def agreeing(words: DataFrame) -> DataFrame:
+    """The beginnings (token, marked) that are tokens: several words (token, lean 0 or 1) lean one way, and not those of a longer one alone."""
+    cut = F.filter(F.array(*[F.when(F.length("token") > k, F.substring("token", 1, k)) for k in STEMS]), lambda x: x.isNotNull())
+    begun = words.select(F.explode(cut).alias("start"), "lean").groupBy("start").agg(F.count("*").alias("words"), F.greatest(F.sum("lean"), F.count("*") - F.sum("lean")).alias("agree"))
+    longer = begun.where(F.length("start") > STEMS[0]).select(F.expr("substring(start, 1, length(start) - 1)").alias("start"), "words")
+    told = begun.where((F.col("agree") >= AGREE) & (F.col("agree") >= AGREED * F.col("words"))).join(longer, ["start", "words"], "left_anti")
+    return told.select(F.concat("start", F.lit("*")).alias("token"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic 0 or 1).
 
@@ -227,8 +239,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     met = weighed.select("toxic", "fold", "weight", "text").mapInArrow(tokens, "toxic int, fold int, weight double, token string")
     each = [F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == y), F.col("weight")).otherwise(0.0)).alias(f"c{k}_{y}") for k in range(FOLDS) for y in (0, 1)]
-    counted = staged(met.groupBy("token").agg(*each), "counts")
+    every = counted = staged(met.groupBy("token").agg(*each), "counts")
     names = counted.columns[1:]
+    of = lambda y: sum((F.col(f"c{k}_{y}") for k in range(FOLDS)), F.lit(0.0))
+    no, yes = weighed.agg(F.sum(F.when(F.col("toxic") == 0, F.col("weight"))), F.sum(F.when(F.col("toxic") == 1, F.col("weight")))).first()
+    whole = counted.where(~F.endswith("token", F.lit("*")))
+    starts = agreeing(whole.where(of(0) + of(1) >= 2).select("token", (of(1) / yes > of(0) / no).cast("int").alias("lean")))
+    counted = staged(whole.unionByName(counted.join(starts, "token", "left_semi")), "tokens")
     tested, *sums = counted.agg(F.count("*"), *[F.sum(c) for c in names]).first()
     least_z = NormalDist().inv_cdf(1 - LEVEL / max(1, tested) / 2)
     sums = np.array(sums).reshape(FOLDS, 2)
@@ -267,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     x = np.array([models[r["fold"]].features(r["n"], r["scores"]) for r in own_rows])
     model.weights = logistic(x, np.array([float(r["toxic"]) for r in own_rows])).tolist()
     model.known.clear()
-    released(docs.sparkSession, chosen, own, rows, weighed, counted)
+    released(docs.sparkSession, chosen, own, rows, weighed, every, counted)
     return model
 
 

@@ -77,3 +77,37 @@ def test_no_silent_local_folder_on_a_cluster():
     far = types.SimpleNamespace(sparkContext=types.SimpleNamespace(master="spark://far:7077", getConf=lambda: unset), conf=unset)
     with pytest.raises(ValueError):
         common.shared_dir(far)
+
+
+def test_a_column_named_like_the_row_number_stays(spark):
+    from codeloom.llm import simhash
+
+    rows = [(1, "a b c d e f", 7, 8, 1), (2, "a b  c d e f", 9, 10, 2), (3, "x y z u v w", None, 11, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row long, __row0 long, kept long")
+    for keep in (exact.deduplicate, simhash.deduplicate, simhash.drop_similar):
+        found = keep(docs)
+        assert found.columns == docs.columns
+        assert {tuple(r) for r in found.collect()} < set(rows) and found.count() == 2
+
+
+def test_components_against_union_find(spark):
+    import random
+
+    from codeloom.llm import components
+
+    for seed in range(3):
+        r = random.Random(seed)
+        edges = [(r.randrange(60), r.randrange(60)) for _ in range(r.choice([10, 40, 80]))] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5), (5, 9), (5, 9)]
+        root = {x: x for e in edges for x in e}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {(x["node"], x["root"]) for x in got} == {(x, find(x)) for x in root if find(x) != x}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -1,6 +1,7 @@
 """The toxicity model against brute force, on copies, and on texts of other lengths than the labelled ones."""
 
 import math
+import os
 import random
 
 import pytest
@@ -63,7 +64,8 @@ def test_scores_equal_a_brute_force_scorer(spark):
         worth = {"vile": 3.0, "rottenly": 2.0, "nice": -1.5}  # "rotten" itself is no longer than its beginning
         words = text.split()
         normal = [1.1 * s - math.log(0.02 * max(1, len(words))) for s in best([worth.get(w, toxicity.GAP) for w in words])]
-        z = -3 + 2 * max([*normal, -10.0]) / 10 + math.log1p(sum(x for x in normal if x > -math.log(toxicity.SIGNIFICANT)))
+        others = sorted(normal)[:-1]
+        z = -3 + 2 * max([*normal, -10.0]) / 10 + math.log1p(sum(x for x in others if x > -math.log(toxicity.SIGNIFICANT)))
         return 1 / (1 + math.exp(-z))
 
     model.scores["rottenly"] = 2.0  # its own score, as the beginning of eight letters isn't asked for
@@ -80,3 +82,33 @@ def test_edges(spark):
     got = toxicity.score_documents(docs, model).collect()
     assert len(got) == 6 and all(0 <= x["score"] <= 1 for x in got)
     assert toxicity.keep_clean(docs.withColumn("score", docs.doc_id).withColumn("n", docs.doc_id), model).columns == ["doc_id", "text", "score", "n"]
+
+
+def test_beginnings_need_several_words_that_agree(spark):
+    words = [(w, lean) for w, lean in (("pathetic", 1), ("vileness", 1), ("vilely", 1), ("vileous", 1), ("vileish", 1), ("vilest", 0), ("calmly", 0), ("calmer", 1), ("calmness", 0), ("calming", 0), ("calmed", 1), ("calms", 0), ("one", 1))]
+    found = {r["token"] for r in toxicity.agreeing(spark.createDataFrame(words, "token string, lean int")).collect()}
+    assert found == {"vile*"}
+
+
+SENTENCES = {
+    "The paths through the valley are worth a visit.": 0,
+    "Pathologists examined the pathogens along three pathways.": 0,
+    "The committee thanked all members for worthy contributions.": 0,
+    "We trained the model on worthwhile data and followed the pathways of the signal.": 0,
+    "He called them pathetic and worthless trash.": 1,
+    "A quiet walk by the river in the morning.": 0,
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_plain_english_is_not_toxic(spark, sf):
+    """With the standard tables' model: sentences of words that begin like toxic ones; the best segment counts."""
+    where = f"/root/testdata/{sf}"
+    if not os.path.isdir(where):
+        pytest.skip("the standard tables aren't here")
+    labels = spark.read.parquet(f"{where}/labels.parquet").where(~toxicity.held_out())
+    model = toxicity.learn(spark.read.parquet(f"{where}/documents.parquet"), labels)
+    assert model.weights[1] > 0
+    texts = spark.createDataFrame(list(enumerate(SENTENCES)), DOCS)
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_documents(texts, model).collect()}
+    assert [got[i] for i in range(len(SENTENCES))] == list(SENTENCES.values())
