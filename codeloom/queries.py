@@ -118,7 +118,7 @@ def _(spark, d):
 
 @query("f10_security_findings", r"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-k AS (SELECT *, regexp_extract(s, '(?i)(?:^|\W)(?:api[_-]?key|apikey|secret|secret[_-]?key|password|passwd|access[_-]?token|auth[_-]?token|private[_-]?key|client[_-]?secret)\s*[:=]\s*["'']([^"'']{8,})["'']', 1) AS v FROM l),
+k AS (SELECT *, regexp_extract(s, '(?i)\b(?:api[_-]?key|apikey|secret|secret[_-]?key|password|passwd|access[_-]?token|auth[_-]?token|private[_-]?key|\w+[_-]?secret)\s*[:=]\s*["'']([^"'']{8,})["'']', 1) AS v FROM l),
 f AS (SELECT doc_id, line, 'hardcoded-secret' AS category FROM k WHERE v <> '' AND NOT regexp_matches(v, '(?i)^(x{3}|your[-_]|example|change-?me|placeholder|dummy|fake|test|sample|000|<[^>]*>|\{\{.*\}\}|\.\.\.|%s|\$\{)') AND NOT regexp_matches(source, '(?i)(^|\W)(tests?|specs?|fixtures?|__tests__|__mocks__|mocks?|examples?)(\W|$)')
 UNION ALL SELECT doc_id, line, 'bare-token' FROM l WHERE regexp_matches(s, '(?i)(^|\W)token\s*[=:]\s*["''][0-9a-f]{40}["'']')
 UNION ALL SELECT doc_id, line, 'sql-injection' FROM l WHERE (regexp_matches(s, '(?i)\bselect\b[^;]*\bfrom\b') OR regexp_matches(s, '(?i)\binsert\s+into\b') OR regexp_matches(s, '(?i)\bupdate\b[^;]*\bset\b') OR regexp_matches(s, '(?i)\bdelete\s+from\b')) AND (regexp_matches(s, '["''`]\s*\.\s*\$\w+') OR regexp_matches(s, '\$\w+\s*\.\s*["''`]') OR regexp_matches(s, '["''`]\s*\+\s*\w+') OR regexp_matches(s, '\$\{[^}]+\}'))
@@ -495,4 +495,4 @@ def _(spark, d):
     return graph_nodes(spark, d).where(F.col("id") == "c1")
 
 
-from . import state_queries  # noqa: E402,F401  registers its own
+from . import code_queries, state_queries  # noqa: E402,F401  they register their own

@@ -1,11 +1,14 @@
 """Queries over questions, evidence, refreshes, plans and graph views, with their DuckDB twins.
 
-Hand-made rows, stated beside the queries that use them, stand for names, paths,
-questions and commands; all else reads whole tables as :mod:`codeloom.queries` does.
+Whole tables are read, as :mod:`codeloom.queries` does.  Where a rule is about words, paths or
+commands that no table has, they are made from the rows of one: Latin words spelt in
+Cyrillic letters, paths and commands of stated patterns around a row's own values.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,76 +21,91 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _values(rows: list[str]) -> str:
-    return f"(SELECT unnest([{', '.join(map(_text, rows))}]) AS x)"
-
-
-def _frame(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame([(r,) for r in rows], "x string")
+def _pick(number: str, patterns: list[str]) -> str:
+    """SQL for the pattern that a number chooses; {0}, {1} in it are columns.  Spark and DuckDB read it alike."""
+    whens = []
+    for k, p in enumerate(patterns):
+        parts = [x if n % 2 else _text(x) for n, x in enumerate(re.split(r"[{}]", p)) if n % 2 or x]
+        whens.append(f"WHEN {k} THEN {' || '.join(parts or [_text('')])}")
+    return f"CASE {number} % {len(patterns)} {' '.join(whens)} END"
 
 
 # ---- words, names and paths ----
 
-WORDS = ["пароля", "паролем", "пароль", "паролях", "сервисами", "контроллеры", "юзера", "миграциями", "кэш", "дом", "token", "алиас", "репликейт", "подписками", "ее", "сессия", ""]
-NAMES = ["How does UserController save_items work", "DataEntry and HTTPServer", "plain words only", "ABC a1 v2 personal_claim_number Foo foo FOO", "src/app-main userID", ""]
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшыюз"
+#: Starts of borrowed words that are put before a third of the words, else there are none.
+STARTS = ["", "", "сервис", "", "", "токен", "", "", "юзер"]
 PATHS = [
-    "app/src/Containers/User/Models/User.php", "app/src/Ship/Core.php", "resources/lang/ru/auth.php", "resources/views/home/index.vue", "database/migrations/x.php", "routes/api.php", "packages/graph/src/index.ts", "", "/lang/de/x.json", "web/Locales/fr.json", "config/app.php", ".env", "a/.env.local",
-    "app/Http/Controllers/AuthController.php", "app/Services/ServerCredential.php", "src/models/PasswordReset.php", "docs/readme.md", "src/a.test.ts", "app/Enums/Kind.php", "app/Repositories/UserRepository.php",
+    "app/src/Containers/{source}/Models/{lang}.php", "app/src/Ship/{source}.php", "resources/lang/{lang}/auth.php", "resources/views/{source}/index.vue", "database/migrations/{source}.php", "routes/{source}.php", "packages/{source}/src/index.ts", "", "/lang/{lang}/x.json", "web/Locales/{lang}.json", "config/{source}.php", ".env", "a/.env.{lang}",
+    "app/Http/Controllers/{source}Controller.php", "app/Services/ServerCredential.php", "src/models/Password{source}.php", "docs/{source}.md", "src/{lang}.test.ts", "app/Enums/{source}.php", "app/Repositories/User{lang}.php", "app/Structural/{source}/../{lang}.php", "{source}/forwarding/Port{lang}.ts", "{lang}",
 ]
-QUESTIONS = ["где используется токен", "Есть ли redis в проекте", "what columns does the table have", "How does the auth flow work", "why does a change of the model break the report", "list all routes and events", "config of the websocket server", "google oauth config", "fix the error", "plain", "causes of allocation", "Как определяется порт", "when was it added", "нужно ли подтвердить email", ""]
-COMMANDS = ["git push origin", "git status", "rm -rf build", "rm file", "php artisan migrate", "php artisan migrate:status", "php artisan migrate --pretend", "npm ci", "npm run ci", "docker compose up -d", "docker ps", "DROP TABLE x", "sudo ls", "composer install --dry-run"]
+COMMANDS = ["git push {o_orderstatus}", "git status", "rm -rf {o_orderstatus}", "rm {o_orderstatus}", "php artisan migrate", "php artisan migrate:status", "php artisan migrate:seed", "php artisan migrate --pretend", "npm ci", "npm run {o_orderstatus}", "docker compose up -d", "docker ps", "DROP TABLE {o_orderstatus}", "sudo ls", "composer install --dry-run", "artisan migrate:{o_orderpriority}", "git {o_orderpriority}"]
+_SQL_WORDS = f"(SELECT DISTINCT {_pick('length(w)', STARTS)} || translate(w, '{LATIN}', '{CYRILLIC}') AS x FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) q)"
+_SQL_PATHS = f"(SELECT doc_id, {_pick('doc_id', PATHS)} AS x FROM documents)"
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    words_ = t(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    return words_.select(F.concat(F.expr(_pick("length(w)", STARTS)), F.translate("w", LATIN, CYRILLIC)).alias("x")).distinct()
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", F.expr(_pick("doc_id", PATHS)).alias("x"))
 
 
-@query("x8_stems", f"SELECT x, coalesce(list_filter(list_transform([{', '.join(map(_text, words.ENDINGS))}], lambda e: CASE WHEN ends_with(x, e) AND length(x) - length(e) >= 4 THEN left(x, length(x) - length(e)) END), lambda y: y IS NOT NULL)[1], x) AS stem FROM {_values(WORDS)}")
+@query("x8_stems", f"SELECT x, coalesce(list_filter(list_transform([{', '.join(map(_text, words.ENDINGS))}], lambda e: CASE WHEN ends_with(x, e) AND length(x) - length(e) >= 4 THEN left(x, length(x) - length(e)) END), lambda y: y IS NOT NULL)[1], x) AS stem FROM {_SQL_WORDS}")
 def _(spark, d):
-    return _frame(spark, WORDS).select("x", words.stem(F.col("x")).alias("stem"))
+    return _words(spark, d).select("x", words.stem(F.col("x")).alias("stem"))
 
 
 _STEMS = ", ".join(f"({_text(a)}, {_text(b)})" for a, b in words.BORROWED)
 
 
-@query("x6_transliterated", f"SELECT x, list_sort(list_distinct(list_append(coalesce(list(latin) FILTER (latin IS NOT NULL), []), x))) AS tokens FROM {_values(WORDS)} LEFT JOIN (VALUES {_STEMS}) s(stem, latin) ON starts_with(x, stem) GROUP BY x")
+@query("x6_transliterated", f"SELECT x, list_sort(list_distinct(list_append(coalesce(list(latin) FILTER (latin IS NOT NULL), []), x))) AS tokens FROM {_SQL_WORDS} LEFT JOIN (VALUES {_STEMS}) s(stem, latin) ON starts_with(x, stem) GROUP BY x")
 def _(spark, d):
-    return _frame(spark, WORDS).select("x", F.array_sort(words.transliterate(F.array("x"))).alias("tokens"))
+    return _words(spark, d).select("x", F.array_sort(words.transliterate(F.array("x"))).alias("tokens"))
 
 
-@query("x7_compound_groups", r"SELECT x, list_filter(list_transform(regexp_split_to_array(x, '[^A-Za-z0-9_/-]+'), lambda w: array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9а-яё]+'), lambda p: length(p) >= 2), '+')), lambda g: contains(g, '+')) AS groups FROM " + _values(NAMES))
+@query("x7_compound_groups", r"SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(x, '[^A-Za-z0-9_/-]+'), lambda w: array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9а-яё]+'), lambda p: length(p) >= 2), '+')), lambda g: contains(g, '+')) AS groups FROM (SELECT conv_id, turn, text AS x FROM conversations UNION ALL SELECT -o_orderkey, NULL, 'place' || replace(o_orderpriority, '-', '_') || 'By' || o_orderstatus || ' get_' || lower(o_orderstatus) || 'Of2' FROM orders)")
 def _(spark, d):
-    return _frame(spark, NAMES).select("x", F.transform(words.compound_groups(F.col("x")), lambda g: F.array_join(g, "+")).alias("groups"))
+    said = t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("x"))
+    made = F.concat(F.lit("place"), F.replace("o_orderpriority", F.lit("-"), F.lit("_")), F.lit("By"), "o_orderstatus", F.lit(" get_"), F.lower("o_orderstatus"), F.lit("Of2"))
+    made = t(spark, d, "orders").select((-F.col("o_orderkey")).alias("conv_id"), F.lit(None).cast("long").alias("turn"), made.alias("x"))
+    return said.unionByName(made).select("conv_id", "turn", F.transform(words.compound_groups(F.col("x")), lambda g: F.array_join(g, "+")).alias("groups"))
 
 
 @query("x10_path_labels", f"""
-WITH p AS (SELECT x, list_filter(string_split(x, '/'), lambda s: s <> '') AS p FROM {_values(PATHS)}),
+WITH p AS (SELECT doc_id, x, list_filter(string_split(x, '/'), lambda s: s <> '') AS p FROM {_SQL_PATHS}),
 q AS (SELECT *, list_transform(p, lambda s: lower(s)) AS l FROM p)
-SELECT x, CASE WHEN p[1] = 'app' AND p[2] = 'src' AND p[3] = 'Containers' AND p[4] IS NOT NULL THEN 'containers:' || p[4] WHEN p[1] = 'app' AND p[2] = 'src' AND p[3] = 'Ship' THEN 'ship'
+SELECT doc_id, x, CASE WHEN p[1] = 'app' AND p[2] = 'src' AND p[3] = 'Containers' AND p[4] IS NOT NULL THEN 'containers:' || p[4] WHEN p[1] = 'app' AND p[2] = 'src' AND p[3] = 'Ship' THEN 'ship'
 WHEN p[1] = 'resources' AND p[2] = 'lang' AND p[3] IS NOT NULL THEN 'localization:' || p[3] WHEN p[1] = 'resources' AND p[2] = 'views' AND p[3] IS NOT NULL THEN 'views:' || p[3]
 WHEN p[1] IN ('database', 'routes') AND p[2] IS NOT NULL THEN p[1] || ':' || p[2] ELSE coalesce(p[1], 'root') END AS module,
 coalesce(CASE WHEN list_contains(l, 'lang') THEN p[list_position(l, 'lang') + 1] END, CASE WHEN list_contains(l, 'locales') THEN p[list_position(l, 'locales') + 1] END) AS bucket,
 CASE WHEN len(p) = 0 THEN 'root' ELSE array_to_string(p[1:3], '/') END AS planning FROM q""")
 def _(spark, d):
     x = F.col("x")
-    return _frame(spark, PATHS).select("x", words.module_label(x).alias("module"), words.localization_bucket(x).alias("bucket"), words.planning_label(x).alias("planning"))
+    return _paths(spark, d).select("doc_id", "x", words.module_label(x).alias("module"), words.localization_bucket(x).alias("bucket"), words.planning_label(x).alias("planning"))
 
 
 @query("f7_path_classes", f"""
-WITH p AS (SELECT x, lower(x) AS l FROM {_values(PATHS)})
-SELECT x, starts_with(l, 'lang/') OR contains(l, '/lang/') OR starts_with(l, 'locales/') OR contains(l, '/locales/') OR contains(l, '/i18n/') OR contains(l, '/translations/') AS localization,
+WITH p AS (SELECT doc_id, x, lower(x) AS l FROM {_SQL_PATHS})
+SELECT doc_id, x, starts_with(l, 'lang/') OR contains(l, '/lang/') OR starts_with(l, 'locales/') OR contains(l, '/locales/') OR contains(l, '/i18n/') OR contains(l, '/translations/') AS localization,
 starts_with(l, 'config/') OR contains(l, '/config/') OR ends_with(l, '.env') OR contains(l, '.env.') AS config,
 contains(l, '/servers/') OR contains(l, '/vault/') OR contains(l, '/migrations/') OR contains(l, '/repositories/') OR contains(l, '/requests/') OR contains(l, '/models/server') OR contains(l, '/models/password') OR (contains(l, 'server') AND contains(l, 'credential')) OR (contains(l, 'forwarding') AND contains(l, 'port')) AS storage FROM p""")
 def _(spark, d):
     x = F.col("x")
-    return _frame(spark, PATHS).select("x", words.is_localization(x).alias("localization"), words.is_config(x).alias("config"), words.is_storage(x).alias("storage"))
+    return _paths(spark, d).select("doc_id", "x", words.is_localization(x).alias("localization"), words.is_config(x).alias("config"), words.is_storage(x).alias("storage"))
 
 
 @query("x28_path_points", f"""
-WITH p AS (SELECT x, lower(x) AS l FROM {_values(PATHS)})
-SELECT x, CASE WHEN regexp_matches(l, '^(app|src|lib|packages)/') THEN 10 ELSE 0 END + CASE WHEN contains(l, '/src/') THEN 12 ELSE 0 END + CASE WHEN contains(l, 'user') THEN 22 ELSE 0 END
+WITH p AS (SELECT doc_id, x, lower(x) AS l FROM {_SQL_PATHS})
+SELECT doc_id, x, CASE WHEN regexp_matches(l, '^(app|src|lib|packages)/') THEN 10 ELSE 0 END + CASE WHEN contains(l, '/src/') THEN 12 ELSE 0 END + CASE WHEN contains(l, 'user') THEN 22 ELSE 0 END
 - CASE WHEN contains(l, '/test') OR contains(l, '.test.') OR contains(l, '.spec.') THEN 20 ELSE 0 END - CASE WHEN contains(l, '/docs/') OR ends_with(l, '.md') THEN 16 ELSE 0 END AS points,
 CASE WHEN contains(l, '/routes/') THEN 28 ELSE 0 END + CASE WHEN contains(l, '/controllers/') THEN 24 ELSE 0 END + CASE WHEN contains(l, '/services/') OR contains(l, '/actions/') THEN 18 ELSE 0 END + CASE WHEN contains(l, '/requests/') OR contains(l, '/middleware/') THEN 14 ELSE 0 END
 + CASE WHEN contains(l, '/models/') THEN 10 ELSE 0 END - CASE WHEN contains(l, '/lang/') OR contains(l, '/config/') THEN 12 ELSE 0 END + CASE WHEN contains(l, 'route') OR contains(l, 'controller') OR contains(l, 'login') OR contains(l, 'auth') THEN 12 ELSE 0 END AS entry_points FROM p""")
 def _(spark, d):
     x = F.col("x")
-    return _frame(spark, PATHS).select("x", rules.path_points(x, ["config"], ["User"]).alias("points"), rules.points(rules.CONTEXT_RULES["entrypoint-traversal"], path=x, text=x).alias("entry_points"))
+    return _paths(spark, d).select("doc_id", "x", rules.path_points(x, ["config"], ["User"]).alias("points"), rules.points(rules.CONTEXT_RULES["entrypoint-traversal"], path=x, text=x).alias("entry_points"))
 
 
 # ---- questions ----
@@ -102,11 +120,14 @@ def _type_sql(low: str) -> str:
     return f"list_sort(list_filter([{', '.join(cases)}], lambda r: r IS NOT NULL), 'DESC')[1]"
 
 
-_ASKED = f"(SELECT x FROM {_values(QUESTIONS)} UNION ALL SELECT text FROM conversations)"
+QUESTIONS = ["где используется {role}", "Есть ли {role} в проекте", "what columns does the table have", "How does the auth flow work", "why does a change of the model break the report", "list all routes and events", "config of the websocket server", "google oauth config", "fix the error of the {role}", "plain", "causes of allocation", "Как определяется порт", "when was it added", "нужно ли подтвердить email", ""]
+#: Every turn of a conversation, and a question that its numbers choose.
+_ASKED = f"(SELECT text AS x FROM conversations UNION ALL SELECT {_pick('(conv_id + turn)', QUESTIONS)} FROM conversations)"
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return _frame(spark, QUESTIONS).union(t(spark, d, "conversations").select("text"))
+    turns = t(spark, d, "conversations")
+    return turns.select(F.col("text").alias("x")).union(turns.select(F.expr(_pick("(conv_id + turn)", QUESTIONS))))
 
 
 @query("x25_question_types", f"WITH q AS (SELECT x, lower(coalesce(x, '')) AS low FROM {_ASKED}), b AS (SELECT x, {_type_sql('low')} AS best FROM q) SELECT sha1(x) AS question, coalesce(best.type, 'unknown') AS type, CAST(coalesce(best.weight, 10) AS DOUBLE) / 100 AS confidence FROM b")
@@ -124,10 +145,10 @@ def _profile_sql() -> str:
     return f"list_sort(list_distinct(list_filter([{', '.join(cases)}], lambda p: p IS NOT NULL)))"
 
 
-@query("x26_search_profiles", f"WITH q AS (SELECT x, lower(x) AS low FROM {_values(QUESTIONS)}), b AS (SELECT x, low, coalesce({_type_sql('low')}.type, 'unknown') AS type FROM q) SELECT x, type, {_profile_sql()} AS profiles FROM b")
+@query("x26_search_profiles", f"WITH q AS (SELECT x, lower(x) AS low FROM {_ASKED}), b AS (SELECT x, low, coalesce({_type_sql('low')}.type, 'unknown') AS type FROM q) SELECT sha1(x) AS question, type, {_profile_sql()} AS profiles FROM b")
 def _(spark, d):
-    typed = _frame(spark, QUESTIONS).select("x", questions.question_type(F.col("x"))["type"].alias("type"))
-    return typed.select("x", "type", F.array_sort(questions.search_profiles(F.col("x"), F.col("type"))).alias("profiles"))
+    typed = _asked(spark, d).select("x", questions.question_type(F.col("x"))["type"].alias("type"))
+    return typed.select(F.sha1("x").alias("question"), "type", F.array_sort(questions.search_profiles(F.col("x"), F.col("type"))).alias("profiles"))
 
 
 @query("f14_task_cues", "SELECT sha1(x) AS task, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(x), {_text(p)}) THEN {_text(n)} END" for n, p in questions.TASK_CUES.items()) + f"], lambda c: c IS NOT NULL) AS cues FROM {_ASKED}")
@@ -135,9 +156,10 @@ def _(spark, d):
     return _asked(spark, d).select(F.sha1("x").alias("task"), questions.task_cues(F.col("x")).alias("cues"))
 
 
-@query("f11_command_rules", "SELECT x, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, {_text(p)}){' AND NOT regexp_matches(x, ' + _text(questions.DRY_RUN) + ')' if n == 'database' else ''} THEN {_text(n)} END" for n, p in questions.COMMAND_RULES.items()) + f"], lambda c: c IS NOT NULL) AS rules FROM {_values(COMMANDS)}")
+@query("f11_command_rules", "SELECT o_orderkey, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, {_text(p)}){' AND NOT regexp_matches(x, ' + _text(questions.DRY_RUN) + ')' if n == 'database' else ''} THEN {_text(n)} END" for n, p in questions.COMMAND_RULES.items()) + f"], lambda c: c IS NOT NULL) AS rules FROM (SELECT o_orderkey, {_pick('o_orderkey', COMMANDS)} AS x FROM orders)")
 def _(spark, d):
-    return _frame(spark, COMMANDS).select("x", questions.command_rules(F.col("x")).alias("rules"))
+    asked = t(spark, d, "orders").select("o_orderkey", F.expr(_pick("o_orderkey", COMMANDS)).alias("x"))
+    return asked.select("o_orderkey", questions.command_rules(F.col("x")).alias("rules"))
 
 
 @query("u5_note_keys", r"WITH f AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'Note: ' ELSE 'blocker : ' END || lang || ', ' || source || '!' AS x FROM documents JOIN labels USING (doc_id)), k AS (SELECT doc_id, starts_with(lower(x), 'note') AS note, trim(regexp_replace(regexp_replace(lower(regexp_replace(x, '(?i)^(blocker|note)\s*:\s*', '')), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM f) SELECT CASE WHEN note THEN 'note' ELSE 'blocker' END AS severity, key, min(doc_id) AS first FROM k GROUP BY ALL")
