@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_schema, slices, strings, table, text_of
 
-#: Layouts the model is trained on, a bounded set.
-TRAINING_PAGES = 700
+#: Layouts the model is trained on, a bounded set: with names on their elements, and without any.
+TRAINING_PAGES, NAMELESS_PAGES = 700, 250
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Skipped with all they hold: code, what isn't rendered, and form controls.  All else is left to the model.
@@ -51,11 +51,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "hidden", "label", "size", "linked", "runs", "below", "depth", "sentences", "up")
+    __slots__ = ("tag", "parent", "names", "hidden", "label", "size", "linked", "runs", "below", "depth", "sentences", "up", "bare")
 
     def __init__(self, tag: str, parent: int, names: tuple[str, ...], hidden: bool, label: int | None, depth: int):
         self.tag, self.parent, self.names, self.hidden, self.label, self.depth = tag, parent, names, hidden, label, depth
-        self.up = ""
+        self.up, self.bare = "", False
         self.size = self.linked = self.runs = self.below = self.sentences = 0
 
 
@@ -206,15 +206,20 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     flush()
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].below += nodes[i].below + nodes[i].size
+    if not any(x.names and x.size + x.below for x in nodes if x.tag not in PAGE):
+        for x in nodes:
+            x.bare = True
     return nodes, blocks
 
 
+#: Elements whose names tell of the page as a whole.
+PAGE = frozenset("#root html body".split())
 #: Kinds of edges, by the child's tag: running text follows its parent more closely than a section does.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table tbody thead tr td th figure figcaption address".split())
 
 
 def kind_of(node: Node) -> int:
-    return int(node.tag in TEXTUAL)
+    return int(node.tag in TEXTUAL) + 2 * node.bare
 
 
 def bin_of(n: float, edges: tuple[float, ...]) -> int:
@@ -232,7 +237,7 @@ def features(node: Node) -> list[str]:
     out += [f"name={n}" for n in node.names]
     if not total:
         out.append("empty")
-    return out
+    return ["bare " + x for x in out] if node.bare else out  # potentials of their own: where nothing has a name, tags and text must do
 
 
 @dataclass
@@ -328,9 +333,9 @@ def train(pages: list[str], rounds: int = 300, rate: float = 0.1, ridge: float =
     y, up, level, kind = np.array(labels), np.array(parent), np.array(depth), np.array(kinds)
     levels = [np.flatnonzero(level == d) for d in range(1, int(level.max(initial=0)) + 1)]
     inner = np.flatnonzero(level > 0)
-    seen = np.zeros((2, 2, 2))
+    seen = np.zeros((4, 2, 2))
     np.add.at(seen, (kind[inner], y[up[inner]], y[inner]), 1)
-    w, e = np.zeros(len(index)), np.zeros((2, 2, 2))
+    w, e = np.zeros(len(index)), np.zeros((4, 2, 2))
     moments = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, e)]
     for t in range(1, rounds + 1):
         b = np.stack([np.zeros(len(y)), x @ w], axis=1)
@@ -338,7 +343,7 @@ def train(pages: list[str], rounds: int = 300, rate: float = 0.1, ridge: float =
         for at in reversed(levels):
             u[at] = np.logaddexp(b[at, None, 0] + e[kind[at], :, 0], b[at, None, 1] + e[kind[at], :, 1])
             np.add.at(b, up[at], u[at])
-        pair = np.zeros((2, 2, 2))
+        pair = np.zeros((4, 2, 2))
         for at in levels:
             above = b[up[at]] - u[at]
             joint = above[:, :, None] + e[kind[at]] + b[at, None, :]
@@ -355,7 +360,7 @@ def train(pages: list[str], rounds: int = 300, rate: float = 0.1, ridge: float =
     return Model({f: float(w[k]) for f, k in index.items()}, e.tolist())
 
 
-def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = TRAINING_PAGES, nameless_n: int = NAMELESS_PAGES, seed: int = 7) -> list[str]:
     """Pages of random layouts and words, content marked by data-label."""
     r = random.Random(seed)
     syllables = "an be co da el fo gi ha in jo ka le mi no or pa que ra se ti un va we ya zo ß é ö ción".split()
@@ -370,8 +375,12 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
     def link() -> str:
         return f'<a href="/{r.randint(1, 999)}">{words(r.randint(1, 3))}</a>'
 
+    bare = [False]  # whether the page is one without names
+
     def cls(*names: str) -> str:
         name = r.choice(names)
+        if bare[0]:
+            return ""
         return f' {r.choice(["class", "class", "id"])}="{r.choice([name, name, name + "-" + r.choice(["box", "1", "inner", "wrap"]), r.choice(["page-", "site-"]) + name])}"'
 
     def menu() -> str:
@@ -431,18 +440,46 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
     def mark(markup: str, label: int) -> str:
         return re.sub(r"^<(\w+)", rf'<\1 data-label="{label}"', markup)
 
+    def plain_menu() -> str:
+        links = [link() for _ in range(r.randint(2, 9))]
+        return r.choice([f"<div>{' '.join(links)}</div>", f"<div>{' | '.join(links)}</div>", f"<div><ul>{''.join(f'<li>{x}</li>' for x in links)}</ul></div>", f"<ul>{''.join(f'<li>{x}</li>' for x in links)}</ul>", f"<p>{' '.join(links)}</p>", f"<div>{''.join(f'<div>{x}</div>' for x in links)}</div>"])
+
+    def nameless(inner: str, title: str) -> str:
+        """A body of plain elements: menus of links before and after, a line of the publisher's at the end; text in paragraphs or straight in its element."""
+        before, after = [mark(plain_menu(), 0) for _ in range(r.choice([0, 0, 1, 1, 2]))], [mark(plain_menu(), 0) for _ in range(r.choice([0, 0, 1]))]
+        if r.random() < 0.5:
+            after.append(mark(r.choice([f"<div>&copy; {words(3)}</div>", f"<p>&copy; {words(4)} {link()}</p>", f"<div>{link()} {link()}</div>"]), 0))
+        straight = title + r.choice(["<br>", "<br><br>", " "]).join(sentence(3, 40) for _ in range(r.choice([1, 2, 5, 20])))
+        kind = r.random()
+        if kind < 0.2:
+            return f'<body data-label="1">{"".join(before)}{straight}{"".join(after)}</body>'
+        if kind < 0.36:
+            main = r.choice([f'<div data-label="1">{straight}</div>', f'<div><div data-label="1">{straight}</div></div>', f'<section data-label="1">{straight}</section>'])
+        else:
+            main = r.choice([inner, inner, f"<div>{inner}</div>", f"<div>{inner}</div>", f"<div><div>{inner}</div></div>", f"<section>{inner}</section>", f"<center>{inner}</center>"])
+        whole = "".join(before) + main + "".join(after)
+        if r.random() < 0.15:
+            whole = f"<table><tr><td>{''.join(before)}</td><td>{main}</td></tr></table>{''.join(after)}"
+        return f"<body>{r.choice([whole, whole, f'<div>{whole}</div>'])}</body>"
+
     pages = []
-    for _ in range(n):
+    for k in range(n + nameless_n):
+        bare[0] = k >= n
         title = r.choice([f"<h1>{sentence(2, 14)}</h1>", f"<h1>{sentence(2, 14)}</h1>", ""])
         plain = r.random() < 0.6
         if r.random() < 0.85:
             paragraphs = [paragraph(plain) for _ in range(r.choice([1, 1, 2, 3, 5, 8, 15, 30]))]
         else:  # long ones, and ones of like paragraphs
-            low, high = r.choice([(2, 6), (4, 9), (8, 20), (20, 60)])
+            low, high = r.choice([(1, 2), (1, 3), (2, 6), (4, 9), (8, 20), (20, 60)])
             paragraphs = [f"<p>{sentence(low, high)}</p>" for _ in range(r.choice([10, 30, 100, 300]))]
         body = [mark(x, 1) for x in ([title] if title else []) + paragraphs]
-        for _ in range(r.choice([0, 0, 0, 1, 2])):
+        for _ in range(0 if bare[0] else r.choice([0, 0, 0, 1, 2])):
             body.insert(r.randint(0, len(body)), mark(junk(), 0))
+        if bare[0]:
+            if r.random() < 0.3:
+                body = [mark(x, 1) for x in ([title] if title else []) + [f"<p>{sentence(2, 9)}</p>" for _ in range(r.choice([1, 2, 3]))]]
+            pages.append(f"<html><head><title>{words(3)}</title></head>{nameless(''.join(body), title)}</html>")
+            continue
         inner = "".join(body)
         main = r.choice([f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f"<div{cls('content', 'article', 'post', 'entry', 'story', 'main', 'text', 'body')}>{inner}</div>", f"<div{cls('wrapper', 'container', 'page')}><div{cls('content', 'post', 'entry', 'article')}>{inner}</div></div>", f"<section{cls('content', 'article', 'post')}>{inner}</section>", f'<div itemprop="articleBody">{inner}</div>'])
         before = [mark(menu(), 0)] * (r.random() < 0.8) + [mark(junk(), 0) for _ in range(r.choice([0, 0, 1, 1, 2]))]

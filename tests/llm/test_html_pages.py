@@ -89,3 +89,30 @@ def test_edges(spark, model):
     got = htmltree.main_text(spark.createDataFrame([(1, "u", long, "x", 1), (1, "u", long, "x", 1), (None, None, None, None, None)], schema), model).collect()
     assert [r["text"].count("\n") for r in got if r["page_id"]] == [59_999] * 2
     assert [(r["text"], r["n_chars"]) for r in got if r["page_id"] is None] == [("", 0)]
+
+
+#: Pages without a name on any element, with what must stay and what must not.
+NAMELESS = [
+    ("<html><body><div><a href='/'>Home</a> <a href='/n'>News</a> <a href='/a'>About</a></div><div><p>The council met on Monday to discuss the new bridge. It will be built next year, the mayor said.</p></div><div><p>Great article, thanks!</p></div></body></html>", "The council met on Monday to discuss the new bridge. It will be built next year, the mayor said.", "News"),
+    ("<div class='content'>" + "".join(f"<p>word{i} two.</p>" for i in range(200)) + "</div>", "\n".join(f"word{i} two." for i in range(200)), "nothing"),
+    ("<div><div><a href=1>First</a><a href=2>Other</a></div><div><h1>Title here</h1>The article has one sentence only. And a second one, longer than that.</div></div>", "Title here\nThe article has one sentence only. And a second one, longer than that.", "Other"),
+    ("<p>Only a line.</p>", "Only a line.", "nothing"),
+    ("<body><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul><div><p>Short.</p><p>Words here.</p></div></body>", "Short.\nWords here.", "One"),
+    ("<table><tr><td><a href=a>Index</a><br><a href=b>Back</a></td><td><p>A page laid out by a table, as they were once. It holds a paragraph.</p></td></tr></table>", "A page laid out by a table, as they were once. It holds a paragraph.", "Index"),
+]
+
+
+def test_pages_without_names(model):
+    for page, want, gone in NAMELESS:
+        found = htmltree.extract(page, model)
+        assert want in found, page[:80]
+        assert gone not in found, page[:80]
+
+
+def test_query_columns(spark, model, monkeypatch, tmp_path):
+    monkeypatch.setattr(htmltree, "train", lambda _: model)
+    spark.createDataFrame([(1, "u", NAMELESS[0][0]), (2, None, None), (None, "v", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = htmltree.op5_html_text(spark, str(tmp_path))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    got = {r["url"]: (r["page_id"], r["text"], r["n_chars"]) for r in found.collect()}
+    assert got[None] == (2, "", 0) and got["v"] == (None, "", 0) and NAMELESS[0][1] in got["u"][1] and got["u"][2] == len(got["u"][1])
