@@ -35,9 +35,15 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("rn = 1").drop("rn")
 
 
-def tail(df: DataFrame, key: str, order: str, n: int = 6) -> DataFrame:
-    """The last n rows of each key."""
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where(F.col("rn") <= n).drop("rn")
+def tail(df: DataFrame, key: str, order: str, n: int = 6, head: str | None = None) -> DataFrame:
+    """The last n rows of each key; with ``head`` only those since the key's head last changed (a null head is one of its own)."""
+    last = Window.partitionBy(key).orderBy(F.col(order).desc())
+    if head:
+        # reading back, the first row of another head ends the memory
+        newest = F.first(F.struct(head)).over(last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        df = df.withColumn("_other", (~F.struct(head).eqNullSafe(newest)).cast("int"))
+        df = df.withColumn("_gone", F.max("_other").over(last.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_gone = 0").drop("_other", "_gone")
+    return df.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= n).drop("rn")
 
 
 def churn(commits: DataFrame, fix: str = r"(?i)fix|error|regression|patch") -> DataFrame:
