@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import rules, words
 from .operators import evidence, graph, planning, questions, refresh
 from .queries import _EDGES, _NODES, _STATES, graph_edges, graph_nodes, query, states, t
+from .streaming import monitor
 
 
 def _text(x: str) -> str:
@@ -461,3 +462,26 @@ def _(spark, d):
 def _(spark, d):
     runs = t(spark, d, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"))
     return t(spark, d, "conversations").join(runs, ["conv_id", "turn"], "left_anti").select("conv_id", "turn")
+
+
+# ---- monitors: users are paths, days heads, every third event a tick without stale units ----
+
+
+def _ticks(spark: SparkSession, d: str) -> DataFrame:
+    source = f"{d}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source + "*")  # a pattern, as a stream's plain path must be a folder
+    return events.select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.date_format("ts", "yyyy-MM-dd").alias("head"), (F.col("event_id") % 3).cast("int").alias("stale"), "event_type")
+
+
+@query("r5_observer_passes")
+def _(spark, d):
+    return monitor.written_to_end(monitor.machine(_ticks(spark, d).drop("event_type"), monitor.observer_step))
+
+
+@query("r2_auto_syncs")
+def _(spark, d):
+    """Errors are ends of runs, purchases questions; of the rest every third state is fresh."""
+    ticks = _ticks(spark, d)
+    kind, fresh = F.when(F.col("event_type") == "error", "run").otherwise("state"), F.when(F.col("stale") == 0, "fresh").otherwise("stale")
+    seen = ticks.select("path", "ts", "head", kind.alias("kind"), fresh.alias("freshness"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.lit(False).alias("changes"), (F.col("event_type") == "purchase").alias("busy"))
+    return monitor.written_to_end(monitor.machine(seen, monitor.sync_step))
