@@ -261,7 +261,7 @@ def _(spark, d):
     return graph.neighbors(nodes, graph_edges(spark, d), graph.nodes_of(nodes, "nation"), "both", ("BELONGS_TO",)).select("start_id", "id", "kind", "label")
 
 
-@query("j8_two_hop_dependencies", f"WITH {_EDGES} SELECT DISTINCT u.source_id AS order_id, v.target_id AS supplier_id FROM edges u JOIN edges v ON u.target_id = v.source_id WHERE u.type = 'USES' AND v.type = 'DEPENDS_ON'")
+@query("j3_two_hop", f"WITH {_EDGES} SELECT DISTINCT u.source_id AS order_id, v.target_id AS supplier_id FROM edges u JOIN edges v ON u.target_id = v.source_id WHERE u.type = 'USES' AND v.type = 'DEPENDS_ON'")
 def _(spark, d):
     edges = graph_edges(spark, d)
     u = graph.edges_of(edges, "USES").select(F.col("source_id").alias("order_id"), F.col("target_id").alias("part_id"))

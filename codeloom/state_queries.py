@@ -406,7 +406,7 @@ def _file_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select(F.when(F.col("source_id").like("c%"), "DECLARES").otherwise("USES").alias("type"), F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
 
 
-@query("j7_file_dependencies", f"WITH {_FILES} SELECT DISTINCT a.source_id AS file_id, n.id FROM fe a JOIN fe b ON a.target_id = b.source_id JOIN fn n ON n.id = b.target_id JOIN fn f ON f.id = a.source_id WHERE a.type = 'DECLARES' AND b.type = 'USES' AND f.kind = 'file' AND n.file_path IS NOT NULL AND n.file_path <> f.file_path")
+@query("j8_file_dependencies", f"WITH {_FILES} SELECT DISTINCT a.source_id AS file_id, n.id FROM fe a JOIN fe b ON a.target_id = b.source_id JOIN fn n ON n.id = b.target_id JOIN fn f ON f.id = a.source_id WHERE a.type = 'DECLARES' AND b.type = 'USES' AND f.kind = 'file' AND n.file_path IS NOT NULL AND n.file_path <> f.file_path")
 def _(spark, d):
     return graph.file_dependencies(*_file_graph(spark, d))
 
