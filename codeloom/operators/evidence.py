@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import boosts
 from ..functions.rules import entity_points
 from ..functions.text import score_groups
 from .retrieval import entity_strength
@@ -16,21 +17,43 @@ def _first(rows: DataFrame, keys: list[str], order: list[Column], n: int, name:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
-def retrieve(files: DataFrame, symbols: DataFrame, routes: DataFrame, modules: DataFrame, groups: list[list[str]], hints: list[tuple[str, list[str]]], functional: bool = False) -> DataFrame:
+def retrieve(files: DataFrame, symbols: DataFrame, routes: DataFrame, modules: DataFrame, groups: list[list[str]], hints: list[tuple[str, list[str]]], functional: bool = False, tokens: list[str] | None = None, intents: list[tuple[str, list[str]]] | None = None, limit: int | None = None) -> DataFrame:
     """(kind, id, label, path, score) of everything that scores above 0 for a question's token groups and entity hints.
 
-    files (id, path, content), symbols and routes (id, label, path), modules (id, label).
-    Whole contents are searched.  Nulls count as empty.
+    files (id, path, content), symbols and routes (id, label, path; symbols may have a
+    kind), modules (id, label).  With ``tokens`` the subjects that they show boost, and
+    ``functional`` follows from them; ``intents`` are the modules that the question means,
+    as :func:`codeloom.operators.intents.module_intents` finds them.  Whole contents are
+    searched unless ``limit`` says how many characters; the surveyed rule takes 4,000.
+    Nulls count as empty.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     hit, strength = (lambda c, n: score_groups(text(c), groups) * n), (lambda c: entity_strength(text(c), hints))
+    if limit is not None:
+        files = files.withColumn("content", F.substring("content", 1, limit))
+    asked = F.lit(tokens or []).cast("array<string>")
+    about = boosts.foci(asked)
+
+    def marked(df: DataFrame, kind: str, *fields: str) -> DataFrame:
+        return df if tokens is None else df.withColumn("_marks", boosts.marks(boosts.BOOSTS[kind], **{f: F.col(f) for f in fields}))
+
+    def subject(kind: str, *fields: str) -> Column:
+        if tokens is None:
+            return F.lit(0)
+        return boosts.boost(boosts.BOOSTS[kind], F.col("_marks"), asked, about, first=kind == "route", **{f: F.col(f) for f in fields})
 
     def scored(df: DataFrame, kind: str, label: str, path: str | None, score: Column) -> DataFrame:
+        if path and intents:
+            score = score + boosts.module_points(F.col(path), intents)
         return df.select(F.lit(kind).alias("kind"), "id", F.col(label).alias("label"), (F.col(path) if path else F.lit(None).cast("string")).alias("path"), score.cast("long").alias("score"))
 
-    out = scored(files, "file", "path", "path", hit("path", 6) + hit("content", 1) + entity_points("file", strength("path"), None))
-    out = out.unionByName(scored(symbols, "symbol", "label", "path", hit("label", 8) + hit("path", 3) + entity_points("symbol", strength("path"), strength("label"))))
-    out = out.unionByName(scored(routes, "route", "label", "path", hit("label", 10) + hit("path", 4) + entity_points("route", strength("path"), strength("label")) + (36 if functional else 12)))
+    kinds = boosts.kind_points(F.col("kind"), about) if tokens is not None and "kind" in symbols.columns else F.lit(0)
+    how = F.when(F.array_contains(about, "functional"), F.lit(36)).otherwise(F.lit(12)) if tokens is not None else F.lit(36 if functional else 12)
+    out = scored(marked(files, "file", "path", "content"), "file", "path", "path", hit("path", 6) + hit("content", 1) + entity_points("file", strength("path"), None) + subject("file", "path", "content"))
+    if "kind" not in symbols.columns:
+        symbols = symbols.withColumn("kind", F.lit(None).cast("string"))
+    out = out.unionByName(scored(marked(symbols, "symbol", "path", "label", "kind"), "symbol", "label", "path", hit("label", 8) + hit("path", 3) + entity_points("symbol", strength("path"), strength("label")) + kinds + subject("symbol", "path", "label", "kind")))
+    out = out.unionByName(scored(marked(routes, "route", "path"), "route", "label", "path", hit("label", 10) + hit("path", 4) + entity_points("route", strength("path"), strength("label")) + how + subject("route", "path")))
     out = out.unionByName(scored(modules, "module", "label", None, hit("label", 14) + entity_points("module", None, strength("label"))))
     return out.where("score > 0")
 
