@@ -495,4 +495,4 @@ def _(spark, d):
     return graph_nodes(spark, d).where(F.col("id") == "c1")
 
 
-from . import code_queries, state_queries, text_queries  # noqa: E402,F401  they register their own
+from . import code_queries, focus_queries, state_queries, text_queries  # noqa: E402,F401  they register their own
