@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import words
 from ..functions.boosts import FOCUS_WORDS, foci
 from ..functions.text import tokenize
+from ..plans.staging import staged
 
 # The modules and the words that stand for them; those named for a subject share its words.
 PROFILES: dict[str, list[str]] = {
@@ -38,8 +39,9 @@ PROFILES: dict[str, list[str]] = {
     "websocket-inventory": FOCUS_WORDS["websocket"],
     "redis-inventory": FOCUS_WORDS["redis"],
 }
-#: The subjects of a question that change scores; with the word of the module itself, a module has at most 32 ways to be asked for.
+#: The subjects of a question that change scores, the first for its modules alone; with the word of the module itself, a module has at most 32 ways to be asked for.
 SUBJECTS = ["infrastructure", "localization", "locale-behavior", "config"]
+PLACED = ["auth", "servers", "vault"]
 _ALIASES = sorted({a.lower() for listed in PROFILES.values() for a in listed})
 _JOINED = [a for a in _ALIASES if re.search("[_/-]", a)]
 _SPACED = [a for a in _ALIASES if " " in a]
@@ -51,7 +53,7 @@ def alias_hits(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     whole = F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= words.ALIAS_LEAST)
     plain = F.array_intersect(F.concat(tokenize(low), whole), F.lit(_PLAIN))
-    other = [F.when(F.contains(low, F.lit(a)), F.lit(a)) for a in _JOINED] + [F.when(low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){a}([^\p{{L}}\p{{N}}_]|$)"), F.lit(a)) for a in _SPACED]
+    other = [F.when(F.contains(low, F.lit(a)), F.lit(a)) for a in _JOINED] + [F.when(F.contains(low, F.lit(a)) & low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){a}([^\p{{L}}\p{{N}}_]|$)"), F.lit(a)) for a in _SPACED]
     return F.concat(plain, F.array_compact(F.array(*other)))
 
 
@@ -63,23 +65,31 @@ def _alias_stem(alias: str) -> str | None:
 def mentions(questions: DataFrame) -> DataFrame:
     """(question, modules) of the modules whose aliases the tokens of a question mean; questions (question, tokens).
 
-    What a word means is worked out once for each distinct token of all questions.
+    What a word means is worked out once for each distinct token of all questions: it
+    means an alias if they are equal, one of four letters or more begins or ends the other,
+    or both are Cyrillic with one stem.  Each of these is a key that tokens and aliases are
+    joined on; the aliases' keys are a fixed table.
     """
     tokens = questions.select("question", F.explode(F.array_distinct("tokens")).alias("token"))
     known = tokens.select("token").distinct().where(~F.col("token").isin(words.NO_ALIAS))
-    stem = words.stem(F.col("token"))
-    known = known.withColumn("stem", F.when(F.col("token").rlike("[а-яё]") & (F.length(stem) >= words.STEM_LEAST), stem))
-
-    def means(aliases: list[str]) -> Column:
-        listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(_alias_stem(a)).cast("string").alias("s")) for a in aliases if a not in words.NO_ALIAS])
-        token, own = F.col("token"), F.col("stem")
-        part = lambda a: ((F.length(token) >= words.ALIAS_LEAST) & (a.startswith(token) | a.endswith(token))) | ((F.length(a) >= words.ALIAS_LEAST) & (token.startswith(a) | token.endswith(a)))
-        return F.exists(listed, lambda x: (x["a"] == token) | part(x["a"]) | F.coalesce(x["s"] == own, F.lit(False)))
-
-    meant = known.select("token", F.array_compact(F.array(*[F.when(means(aliases), F.lit(m)) for m, aliases in PROFILES.items()])).alias("meant")).where(F.size("meant") > 0)
-    found = tokens.join(meant, "token").select("question", F.explode("meant").alias("module")).groupBy("question").agg(F.sort_array(F.collect_set("module")).alias("modules"))
-    none = F.array().cast("array<string>")
-    return questions.select("question").join(found, "question", "left").select("question", F.coalesce("modules", none).alias("modules"))
+    least, longest = words.ALIAS_LEAST, max(map(len, _ALIASES))
+    stem, token = words.stem(F.col("token")), F.col("token")
+    lengths = F.when(F.length(token) >= least, F.sequence(F.lit(least), F.least(F.length(token), F.lit(longest)))).otherwise(F.array().cast("array<int>"))
+    ends = F.array_distinct(F.concat(F.transform(lengths, lambda n: F.left(token, n)), F.transform(lengths, lambda n: F.right(token, n))))
+    key = lambda way, x: F.struct(F.lit(way).alias("way"), x.alias("key"))
+    stems = F.when(token.rlike("[а-яё]") & (F.length(stem) >= words.STEM_LEAST), stem)
+    keys = F.concat(F.array(key("whole", token), key("stem", stems)), F.transform(ends, lambda x: key("end", x)))
+
+    fixed = set()
+    for module, aliases in PROFILES.items():
+        for a in {x.lower() for x in aliases} - set(words.NO_ALIAS):
+            fixed |= {("whole", a, module)} | {("whole", x, module) for n in range(least, len(a)) for x in (a[:n], a[-n:])} | {("end", a, module)} | {("stem", _alias_stem(a), module)}
+    listed = sorted(x for x in fixed if x[1] is not None and (x[0] != "end" or len(x[1]) >= least))
+    table = questions.sparkSession.createDataFrame(listed, "way string, key string, meant string")
+
+    meant = known.select("token", F.inline(keys)).join(F.broadcast(table), ["way", "key"]).select("token", "meant").distinct()
+    found = tokens.join(meant, "token").groupBy("question").agg(F.sort_array(F.collect_set("meant")).alias("modules"))
+    return questions.select("question").join(found, "question", "left").select("question", F.coalesce("modules", F.array().cast("array<string>")).alias("modules"))
 
 
 def _score(subjects: Column) -> Column:
@@ -126,7 +136,9 @@ def module_intents(files: DataFrame, symbols: DataFrame, questions: DataFrame, l
     """
     asked = questions.select("question", F.coalesce(tokenize("text"), F.array().cast("array<string>")).alias("tokens"))
     asked = asked.join(mentions(asked), "question").select("question", "modules", F.array_intersect(F.lit(SUBJECTS), foci(F.col("tokens"))).alias("subjects"))
-    ways = asked.select("question", "subjects", F.explode(F.transform(F.lit(list(PROFILES)), lambda m: F.struct(m.alias("module"), F.array_contains("modules", m).alias("mentioned")))).alias("w")).select("question", "subjects", "w.*")
+    asked = staged(asked, "asked")
+    relevant = F.when(F.col("module").isin(PLACED), F.col("subjects")).otherwise(F.array_remove("subjects", "infrastructure"))
+    ways = asked.select("question", "subjects", F.explode(F.transform(F.lit(list(PROFILES)), lambda m: F.struct(m.alias("module"), F.array_contains("modules", m).alias("mentioned")))).alias("w")).select("question", "subjects", "w.*").withColumn("subjects", relevant)
     occurring = F.broadcast(ways.select("module", "mentioned", "subjects").distinct())  # 12 modules, 32 ways each at most
 
     own = symbols.select("path", F.explode(alias_hits(F.col("label"))).alias("alias")).groupBy("path").agg(F.collect_set("alias").alias("by_symbol"))
@@ -134,6 +146,7 @@ def module_intents(files: DataFrame, symbols: DataFrame, questions: DataFrame, l
     holds = lambda *xs: F.lit(False) if not xs else F.contains(text, F.lit(xs[0])) | holds(*xs[1:])
     read = files.where("path is not null").select("path", F.lower("path").alias("low"), alias_hits(F.col("path")).alias("by_path"), alias_hits(text).alias("by_content"), holds("private_key").alias("keyed"), holds("credential").alias("credited"), holds("env(", "process.env", "import.meta.env").alias("read"))
     read = read.join(own, "path", "left").withColumn("by_symbol", F.coalesce("by_symbol", F.array().cast("array<string>")))
+    read = staged(read, "hits")  # read twice below, and the texts are not
     n = lambda hits, aliases: F.size(F.array_intersect(hits, F.lit([a.lower() for a in aliases])))
     counted = F.array(*[F.struct(F.lit(m).alias("module"), n("by_path", a).alias("p"), n("by_symbol", a).alias("s"), n("by_content", a).alias("c")) for m, a in PROFILES.items()])
     each = read.select("path", "low", "keyed", "credited", "read", F.inline(counted)).join(occurring, "module")
