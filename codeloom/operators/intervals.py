@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _level(length: Column) -> Column:
-    """The least k with 4^k >= length, by integers."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(0), lambda k, i: k + (F.call_function("shiftleft", F.lit(1).cast("bigint"), 2 * i) < length).cast("int"))
+    """The least k with 4^k >= length, by integers: half the binary digits of length - 1, rounded up."""
+    return F.when(length <= 1, F.lit(0)).otherwise(F.floor((F.length(F.bin(length - 1)) + 1) / 2).cast("int"))
 
 
 def first_scope(points: DataFrame, scopes: DataFrame, by: list[str], at: str, start: str, end: str, order: list[str]) -> DataFrame:
@@ -26,9 +26,8 @@ def first_scope(points: DataFrame, scopes: DataFrame, by: list[str], at: str, st
     own = [c for c in scopes.columns if c not in by]
     rows = points.select("*", F.monotonically_increasing_id().alias("_point"))
     told = spread.select(*by, F.struct(*own).alias("scope"), "_level", F.explode(F.sequence(bin_of(F.col(start), F.col("_level")), bin_of(F.col(end), F.col("_level")))).alias("_bin"))
-    asked = rows.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>"))).withColumn("_bin", bin_of(F.col(at), F.col("_level")))
-    met = asked.join(told, [*by, "_level", "_bin"]).where((F.col(at) >= F.col(f"scope.{start}")) & (F.col(at) <= F.col(f"scope.{end}")))
-    best = F.min_by("scope", F.struct(*[F.col(f"scope.{c}") for c in order]))
-    found = met.groupBy(*points.columns, "_point").agg(best.alias("scope")).drop("_point")
-    lost = rows.join(met.select("_point").distinct(), "_point", "left_anti").select(*points.columns, F.lit(None).cast(found.schema["scope"].dataType).alias("scope"))
-    return found.unionByName(lost)
+    asked = rows.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels or [0]]))).withColumn("_bin", bin_of(F.col(at), F.col("_level")))
+    met = asked.join(told, [*by, "_level", "_bin"], "left")  # once: a point's number may differ where it is worked out again
+    inside = F.col("scope").isNotNull() & (F.col(at) >= F.col(f"scope.{start}")) & (F.col(at) <= F.col(f"scope.{end}"))
+    best = F.min_by("scope", F.when(inside, F.struct(*[F.col(f"scope.{c}") for c in order])))
+    return met.groupBy(*points.columns, "_point").agg(best.alias("scope")).drop("_point")
