@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return read
 
 
+#: Tables of so many narrow rows are sent to every executor instead of moving the other side of a join.
+FEW = 20_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, marked to be broadcast if they are few; counts them, so give a written table."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def released(*made: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for df in made:
