@@ -90,8 +90,10 @@ f AS (SELECT lang, arg_min(w, doc_id) AS w0 FROM w GROUP BY lang)
 SELECT doc_id, least(len(w), len(w0)) > 0 AND len(list_intersect(w, w0)) >= 0.7 * least(len(w), len(w0)) AS near FROM w JOIN f USING (lang)""")
 def _(spark, d):
     docs = t(spark, d, "documents")
-    first = docs.groupBy("lang").agg(F.min_by("text", "doc_id").alias("first_text"))
-    return docs.join(first, "lang").select("doc_id", text.near_duplicate(F.col("text"), F.col("first_text")).alias("near"))
+    least = docs.groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
+    first = docs.join(F.broadcast(least), ["lang", "doc_id"]).groupBy("lang").agg(F.min_by("text", "doc_id").alias("first_text"))
+    # a row a language, sent to the texts: a join by language would move all texts of one to one task
+    return docs.join(F.broadcast(first), "lang").select("doc_id", text.near_duplicate(F.col("text"), F.col("first_text")).alias("near"))
 
 
 # ---- scans and filters ----
