@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import IGNORED_DIRECTORIES
-from ..plans.staging import released, staged
+from ..plans.staging import few, released, staged
 
 #: A directory of so many files is a unit; how deep units, and files that count, may lie.
 UNIT_FILES, UNIT_DEPTH, FILE_DEPTH, LISTED = 150, 6, 8, 300
@@ -70,5 +70,6 @@ def unit_files(files: DataFrame, units: DataFrame, most: int = LISTED) -> DataFr
     own = seen_files(files)
     above = F.transform(F.sequence(F.lit(1), F.size("f")), lambda n: F.array_join(F.slice("f", F.lit(1), n), "/"))
     placed = own.withColumn("f", _folders(F.col("path"))).where(F.size("f") > 0).select("path", F.size("f").alias("depth"), F.explode(above).alias("unit"))
-    within = placed.where(F.col("depth") - F.size(F.split("unit", "/")) <= FILE_DEPTH).join(units.select("unit").distinct(), "unit")
+    asked = few(staged(units.select("unit").distinct(), "units"))
+    within = placed.where(F.col("depth") - F.size(F.split("unit", "/")) <= FILE_DEPTH).join(asked, "unit")
     return within.withColumn("n", F.row_number().over(Window.partitionBy("unit").orderBy("path"))).where(F.col("n") <= most).select("unit", "path")
