@@ -378,7 +378,8 @@ x AS (SELECT x.g AS from_label, y.g AS to_label, CAST(a AS VARCHAR) AS path, CAS
 SELECT from_label, to_label, path, needs FROM x QUALIFY row_number() OVER (PARTITION BY from_label, to_label ORDER BY length(path) + length(needs), path, needs) = 1""")
 def _(spark, d):
     labels = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_mktsegment").alias("label"))
-    needs = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("string").alias("path"), F.col("l_suppkey").cast("string").alias("needs")).distinct()
+    needs = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    needs = needs.select(F.col("o_custkey").cast("string").alias("path"), F.col("l_suppkey").cast("string").alias("needs"))
     return planning.chains(needs, labels)
 
 
