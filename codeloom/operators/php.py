@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
 from .build import _id, php_file
 from .intervals import first_scope
 
@@ -37,6 +38,7 @@ def php_relations(marks: DataFrame, files: DataFrame) -> DataFrame:
     static call outside of methods.  Of several types of a property the last counts, those of
     promoted parameters after the others; of several imports of a name, and methods of a name, the last.
     """
+    marks = staged(marks, "marks")  # files are scanned once, not by each of the joins below
     of = lambda what: marks.where(F.col("what") == what)
     paths = files.select(F.col("path").alias("candidate")).where("candidate is not null").distinct()
     file_id = _id(F.lit("file"), F.col("path"))
@@ -54,7 +56,7 @@ def php_relations(marks: DataFrame, files: DataFrame) -> DataFrame:
 
     points = marks.where(F.col("what").isin("call", "static", "header", "config", "locale")).select("path", "what", "at", "a", "b")
     placed = first_scope(points, scopes.withColumnRenamed("at", "start"), ["path"], "at", "start", "end", ["start", "end"])
-    placed = placed.select("path", "what", "at", "a", "b", "scope.container", "scope.method", "scope.line")
+    placed = staged(placed.select("path", "what", "at", "a", "b", "scope.container", "scope.method", "scope.line"), "placed")
     own_id = F.when(F.col("method").isNotNull(), method_id).otherwise(file_id)
     own_name = F.when(F.col("method").isNotNull(), F.concat_ws(".", "container", "method")).otherwise(F.col("path"))
 
