@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path
 from ..plans.staging import staged
+from .alike import first_kept
 
 
 def index_plan(changes: DataFrame, previous: DataFrame, most: int = 500) -> DataFrame:
@@ -71,34 +72,10 @@ def merge_near_duplicates(facts: DataFrame, share: float = 0.7) -> DataFrame:
     digits or '_' or more) of the smaller of the two; the one kept takes its paths.
     Ids are unique.  Facts without such words are kept.
 
-    Candidates come from a join on words: of two sets the smaller shows one of its
-    rarest words, as many as may be missing and one more, in the other.  Who is kept is
-    found in rounds, each written, in which a fact is decided once all before it that
-    resemble it are; no category is gathered.
+    Who is kept is found by :func:`.alike.first_kept`, block after block; no pairs are written and no category is gathered.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("statement", F.lit(""))), F.lit("[a-z0-9_]{4,}"), F.lit(0)))
-    own = staged(facts.select("id", F.coalesce("category", F.lit("")).alias("category"), "ord", words.alias("words")), "facts")
-    terms = own.select("id", "category", "ord", F.size("words").alias("n"), F.explode("words").alias("word"))
-    often = terms.groupBy("category", "word").agg(F.count("*").alias("df"))
-    ranked = terms.join(often, ["category", "word"]).withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "word")))
-    rare = ranked.where(F.col("at") <= F.col("n") - F.ceil(share * F.col("n")) + 1).select("category", "word", F.col("id").alias("a"), F.col("n").alias("na"))
-    met = rare.join(terms.select("category", "word", F.col("id").alias("b"), F.col("n").alias("nb")), ["category", "word"]).where("a <> b and na <= nb").select("a", "b").distinct()
-    full = own.select("id", "ord", "words")
-    both = met.join(full.toDF("a", "ord_a", "words_a"), "a").join(full.toDF("b", "ord_b", "words_b"), "b")
-    alike = both.where(F.size(F.array_intersect("words_a", "words_b")) >= share * F.least(F.size("words_a"), F.size("words_b")))
-    before = (F.col("ord_a") > F.col("ord_b")) | ((F.col("ord_a") == F.col("ord_b")) & (F.col("a") < F.col("b")))
-    pick = lambda x, y: F.when(before, F.col(x)).otherwise(F.col(y))
-    pairs = staged(alike.select(pick("a", "b").alias("first"), pick("b", "a").alias("later"), pick("ord_a", "ord_b").alias("ord")).distinct(), "alike")
-
-    open_, lost = pairs, pairs.select(F.col("later").alias("id")).limit(0)
-    while not open_.isEmpty():
-        heads = staged(open_.select(F.col("first").alias("id")).distinct().join(open_.select(F.col("later").alias("id")), "id", "left_anti"), "heads")
-        gone = staged(open_.join(heads.withColumnRenamed("id", "first"), "first", "left_semi").select(F.col("later").alias("id")).distinct(), "gone")
-        lost = lost.unionByName(gone)
-        left = open_.join(gone.withColumnRenamed("id", "later"), "later", "left_anti").join(gone.withColumnRenamed("id", "first"), "first", "left_anti")
-        open_ = staged(left.select("first", "later", "ord"), "open")
-    into = pairs.join(lost.withColumnRenamed("id", "later"), "later", "left_semi").join(lost.withColumnRenamed("id", "first"), "first", "left_anti")
-    merged = into.groupBy("later").agg(F.max_by("first", F.struct("ord", (-F.col("first")).alias("f"))).alias("first"))
+    merged = staged(first_kept(facts.withColumn("category", F.coalesce("category", F.lit(""))), words, share), "merged").withColumnRenamed("id", "later")
     target = facts.join(merged.select(F.col("later").alias("id"), "first"), "id", "left").withColumn("id", F.coalesce("first", "id"))
     paths = target.select("id", F.explode("paths").alias("path")).groupBy("id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     stay = facts.select("id", "category").join(merged.select(F.col("later").alias("id")), "id", "left_anti")

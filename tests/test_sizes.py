@@ -76,3 +76,21 @@ def test_texts_of_a_language_stay_where_they_are(spark, tmp_path):
         assert "SortMergeJoin" not in plan(found)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_near_duplicates_write_no_pairs(spark, monkeypatch):
+    from codeloom.operators import alike, refresh
+    from test_states import plain_merge
+
+    rng = random.Random(8)
+    pool = [f"word{i}" for i in range(60)]
+    facts = [(i, rng.choice(["a", "a", "b"]), " ".join(rng.sample(pool[:10], 9) if i % 2 else rng.choices(pool, k=rng.choice([1, 3, 12, 30]))), [f"p{i % 7}"], rng.choice([1, 2, 3, None]) or 0) for i in range(300)]
+    written = []
+    for module in (refresh, alike):
+        monkeypatch.setattr(module, "staged", lambda df, name, kept=module.staged: (written.append((read := kept(df, name)).count()), read)[1])
+    monkeypatch.setattr(alike, "ROWS", 60)
+    monkeypatch.setattr(alike, "INDEXED", 16)
+    monkeypatch.setattr(alike, "HELD", 1000)
+    got = refresh.merge_near_duplicates(spark.createDataFrame(facts, "id int, category string, statement string, paths array<string>, ord int"))
+    assert {r["id"]: r["paths"] for r in got.collect()} == plain_merge(facts)
+    assert max(written) <= len(facts)
