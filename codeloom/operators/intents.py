@@ -92,29 +92,31 @@ def mentions(questions: DataFrame) -> DataFrame:
     return questions.select("question").join(found, "question", "left").select("question", F.coalesce("modules", F.array().cast("array<string>")).alias("modules"))
 
 
+#: What a file's path and content have that changes scores, beside the aliases of modules.
+MARKS = ["keyed", "credited", "read", "signed", "handling", "localized", "passing", "configured"]
+
+
 def _score(subjects: Column) -> Column:
-    """What a file is worth for a module, asked for with these subjects; columns low, module, p, s, c, mentioned, keyed, credited, read."""
-    low, module = F.col("low"), F.col("module")
+    """What a file is worth for a module, asked for with these subjects; columns module, p, s, c, mentioned and MARKS."""
+    module = F.col("module")
     has = lambda *xs: F.array_contains(F.lit(list(xs)), module)
-    in_path = lambda *xs: F.lit(False) if not xs else F.contains(low, F.lit(xs[0])) | in_path(*xs[1:])
     on = lambda subject: F.array_contains(subjects, subject)
     named = (F.col("p") > 0) | (F.col("s") > 0)
-    handlers = in_path("/routes/", "/controllers/", "/auth/")
     # Points of a module, beside those of its words.
     adjusted = [
         (F.col("mentioned"), 20),
-        (on("infrastructure") & has("auth") & ~in_path("/auth/", "authcontroller"), -18),
+        (on("infrastructure") & has("auth") & ~F.col("signed"), -18),
         (on("infrastructure") & has("servers", "vault") & named, 24),
         (on("infrastructure") & has("servers") & F.col("keyed"), 16),
         (on("infrastructure") & has("vault") & F.col("credited"), 16),
-        (on("localization") & has("localization") & words.is_localization(low), 48),
+        (on("localization") & has("localization") & F.col("localized"), 48),
         (on("localization") & has("localization") & named, 24),
-        (on("localization") & ~has("localization") & handlers, -30),
+        (on("localization") & ~has("localization") & F.col("handling"), -30),
         (on("locale-behavior") & has("localization") & named, 12),
-        (on("locale-behavior") & in_path("/middleware/", "/http/", "/requests/", "/config/"), 20),
-        (on("config") & has("config") & words.is_config(low), 52),
+        (on("locale-behavior") & F.col("passing"), 20),
+        (on("config") & has("config") & F.col("configured"), 52),
         (on("config") & has("config") & F.col("read"), 24),
-        (on("config") & ~has("config") & handlers, -28),
+        (on("config") & ~has("config") & F.col("handling"), -28),
         (~named & (F.col("c") > 0), -8),
     ]
     base = F.col("p") * 8 + F.col("s") * 6 + F.least(F.col("c"), F.lit(2))
@@ -131,8 +133,10 @@ def module_intents(files: DataFrame, symbols: DataFrame, questions: DataFrame, l
     takes 2,000.  Null texts count as empty; files without a path are left out.
 
     A file's score depends on a question only through whether it names the module and
-    which of SUBJECTS it has, so files are scored once for each such way that occurs, at
-    most 32 a module, and questions then look the results up: files never meet questions.
+    which of SUBJECTS it has, at most 32 ways a module, and on the file only through its
+    counts of aliases and MARKS.  So files of like counts and marks are counted, with the
+    least paths of each kind; kinds are scored once for each way that occurs, and questions
+    then look the results up: files never meet ways or questions.
     """
     asked = questions.select("question", F.coalesce(tokenize("text"), F.array().cast("array<string>")).alias("tokens"))
     asked = asked.join(mentions(asked), "question").select("question", "modules", F.array_intersect(F.lit(SUBJECTS), foci(F.col("tokens"))).alias("subjects"))
@@ -144,17 +148,24 @@ def module_intents(files: DataFrame, symbols: DataFrame, questions: DataFrame, l
     own = symbols.select("path", F.explode(alias_hits(F.col("label"))).alias("alias")).groupBy("path").agg(F.collect_set("alias").alias("by_symbol"))
     text = F.lower(F.coalesce(F.col("content") if limit is None else F.substring("content", 1, limit), F.lit("")))
     holds = lambda *xs: F.lit(False) if not xs else F.contains(text, F.lit(xs[0])) | holds(*xs[1:])
-    read = files.where("path is not null").select("path", F.lower("path").alias("low"), alias_hits(F.col("path")).alias("by_path"), alias_hits(text).alias("by_content"), holds("private_key").alias("keyed"), holds("credential").alias("credited"), holds("env(", "process.env", "import.meta.env").alias("read"))
+    low = F.lower("path")
+    in_path = lambda *xs: F.lit(False) if not xs else F.contains(low, F.lit(xs[0])) | in_path(*xs[1:])
+    seen = [holds("private_key"), holds("credential"), holds("env(", "process.env", "import.meta.env"), in_path("/auth/", "authcontroller"), in_path("/routes/", "/controllers/", "/auth/"), words.is_localization(low), in_path("/middleware/", "/http/", "/requests/", "/config/"), words.is_config(low)]
+    read = files.where("path is not null").select("path", alias_hits(F.col("path")).alias("by_path"), alias_hits(text).alias("by_content"), *[m.alias(name) for m, name in zip(seen, MARKS)])
     read = read.join(own, "path", "left").withColumn("by_symbol", F.coalesce("by_symbol", F.array().cast("array<string>")))
-    read = staged(read, "hits")  # read twice below, and the texts are not
+    read = staged(read, "hits")  # read several times below, and the texts are not
     n = lambda hits, aliases: F.size(F.array_intersect(hits, F.lit([a.lower() for a in aliases])))
     counted = F.array(*[F.struct(F.lit(m).alias("module"), n("by_path", a).alias("p"), n("by_symbol", a).alias("s"), n("by_content", a).alias("c")) for m, a in PROFILES.items()])
-    each = read.select("path", "low", "keyed", "credited", "read", F.inline(counted)).join(occurring, "module")
-    scored = each.withColumn("score", _score(F.col("subjects"))).where("score > 0").select("module", "mentioned", "subjects", "path", "score")
+    each = read.select("path", *MARKS, F.inline(counted)).withColumn("c", F.least("c", F.lit(2)))  # no score tells more of them apart
+    kind = ["module", "p", "s", "c", *MARKS]
+    nth = F.row_number().over(Window.partitionBy(*kind).orderBy("path"))
+    least = each.withColumn("n", nth).where(F.col("n") <= most_files).groupBy(*kind).agg(F.collect_list("path").alias("paths"))
+    kinds = least.join(each.groupBy(*kind).agg(F.count("*").alias("many")), kind)
+    scored = kinds.join(occurring, "module").withColumn("score", _score(F.col("subjects"))).where("score > 0")
 
     way = ["module", "mentioned", "subjects"]
-    total = scored.groupBy(*way).agg(F.sum("score").alias("score"))
-    first = scored.withColumn("n", F.row_number().over(Window.partitionBy(*way).orderBy(F.col("score").desc(), "path"))).where(F.col("n") <= most_files)
+    total = scored.groupBy(*way).agg(F.sum(F.col("score") * F.col("many")).alias("score"))
+    first = scored.select(*way, "score", F.explode("paths").alias("path")).withColumn("n", F.row_number().over(Window.partitionBy(*way).orderBy(F.col("score").desc(), "path"))).where(F.col("n") <= most_files)
     strongest = first.groupBy(*way).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: x["path"]).alias("files"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.col("score").desc(), F.array_position(F.lit(list(PROFILES)), F.col("module"))))
     answers = ways.join(F.broadcast(total.join(strongest, way)), way)

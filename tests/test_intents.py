@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import words
 from codeloom.functions.boosts import FOCUS_WORDS, foci
+from codeloom.operators import intents
 from codeloom.operators.intents import PROFILES, alias_hits, mentions, module_intents
 
 WORD = r"[^\W_]|_"
@@ -102,3 +103,14 @@ def test_module_intents_equal_the_plain_form(spark):
     assert got == plain_intents(files, [x for x in symbols if x[1]], [(q, about[q], meant[q]) for q, _ in questions])
     assert FOCUS_WORDS["config"] == PROFILES["config"]
     assert module_intents(f.limit(0), s, asked).count() == 0
+
+
+def test_kinds_of_files_are_scored_not_files(spark, monkeypatch):
+    scored = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (scored.add(1), x)[1], "int").asNondeterministic()
+    monkeypatch.setattr(intents, "_score", lambda subjects, kept=intents._score: seen(kept(subjects).cast("int")))
+    files = spark.createDataFrame([(f"app/auth/{i:03}.php", "login of a user" if i % 2 else "nothing") for i in range(300)], "path string, content string")
+    asked = spark.createDataFrame([(1, "how does the login work")], "question int, text string")
+    found = intents.module_intents(files, files.select("path", F.lit("auth").alias("label")), asked).orderBy("place").collect()
+    assert found[0]["module"] == "auth" and found[0]["files"] == [f"app/auth/{i:03}.php" for i in (1, 3, 5, 7)]
+    assert scored.value < 300
