@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,16 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
 
+#: A task of a large join has about so many rows.
+DEALT = 500_000
+
+
+def deal(*rows: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """Deals frames by a key into as many tasks as all of ``rows`` fill, which are counted; as Spark does it where its own tasks suffice."""
+    n = -(-sum(x.count() for x in rows) // DEALT)
+    return (lambda df, key: df.repartition(n, key)) if n > rows[0].sparkSession.sparkContext.defaultParallelism else (lambda df, key: df)
+
+
 def released(*made: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for df in made:

@@ -244,13 +244,15 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+def graph_edges(spark: SparkSession, d: str, repeats: bool = False) -> DataFrame:
+    """Edges of the tables; with ``repeats`` a part's or supplier's as often as items have it, for what asks only whether there is one."""
     item = t(spark, d, "lineitem")
     out = _edge(t(spark, d, "nation"), "BELONGS_TO", "n", "n_nationkey", "r", "n_regionkey")
     out = out.unionByName(_edge(t(spark, d, "customer"), "BELONGS_TO", "c", "c_custkey", "n", "c_nationkey")).unionByName(_edge(t(spark, d, "supplier"), "BELONGS_TO", "s", "s_suppkey", "n", "s_nationkey"))
     out = out.unionByName(_edge(t(spark, d, "orders"), "REFERENCES", "o", "o_orderkey", "c", "o_custkey"))
     # distinct by keys, which are narrower than the ids made of them
-    uses, needs = item.select("l_orderkey", "l_partkey").distinct(), item.select("l_partkey", "l_suppkey").distinct()
+    uses, needs = item.select("l_orderkey", "l_partkey"), item.select("l_partkey", "l_suppkey")
+    uses, needs = (uses, needs) if repeats else (uses.distinct(), needs.distinct())
     return out.unionByName(_edge(uses, "USES", "o", "l_orderkey", "p", "l_partkey")).unionByName(_edge(needs, "DEPENDS_ON", "p", "l_partkey", "s", "l_suppkey"))
 
 

@@ -421,7 +421,7 @@ def _(spark, d):
 @query("g3_subgraph", f"WITH {_NODES}, {_EDGES}, s AS (SELECT id FROM nodes WHERE kind = 'nation' AND label LIKE '%A%') SELECT id, kind, label FROM nodes WHERE id IN (SELECT id FROM s UNION SELECT source_id FROM edges WHERE target_id IN (SELECT id FROM s) UNION SELECT target_id FROM edges WHERE source_id IN (SELECT id FROM s))")
 def _(spark, d):
     nodes = graph_nodes(spark, d)
-    return graph.around(nodes, graph_edges(spark, d), nodes.where("kind = 'nation' and label like '%A%'"))
+    return graph.around(nodes, graph_edges(spark, d, repeats=True), nodes.where("kind = 'nation' and label like '%A%'"))
 
 
 @query("g4_dependents", f"WITH {_EDGES} SELECT DISTINCT target_id AS start_id, source_id AS id FROM edges WHERE type = 'DEPENDS_ON'")
@@ -432,7 +432,7 @@ def _(spark, d):
 
 @query("g5_entry_set", f"WITH {_NODES}, {_EDGES} SELECT id, kind, label FROM nodes WHERE kind = 'order' OR id IN (SELECT target_id FROM edges WHERE source_id LIKE 'o%' AND type IN ('REFERENCES', 'CALLS', 'USES', 'BELONGS_TO'))")
 def _(spark, d):
-    return graph.entry_set(graph_nodes(spark, d), graph_edges(spark, d), "order")
+    return graph.entry_set(graph_nodes(spark, d), graph_edges(spark, d, repeats=True), "order")
 
 
 @query("t16_broad_seeds", f"WITH {_NODES} SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY id) AS place FROM nodes WHERE kind IN ('part', 'order', 'customer') QUALIFY place <= CASE kind WHEN 'order' THEN 8 ELSE 12 END")

@@ -94,3 +94,16 @@ def test_near_duplicates_write_no_pairs(spark, monkeypatch):
     got = refresh.merge_near_duplicates(spark.createDataFrame(facts, "id int, category string, statement string, paths array<string>, ord int"))
     assert {r["id"]: r["paths"] for r in got.collect()} == plain_merge(facts)
     assert max(written) <= len(facts)
+
+
+def test_tasks_around_nodes_stay_small(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{i}", "order" if i % 3 else "part") for i in range(40)], "id string, kind string")
+    links = [(f"n{i}", f"n{i * 7 % 45}", "USES" if i % 2 else "DECLARES") for i in range(40)]
+    edges = spark.createDataFrame(links + links[:9], "source_id string, target_id string, type string")
+    starts = {f"n{i}" for i in range(40) if i % 3}
+    want = sorted((starts | {b for a, b, kind in links if a in starts and kind == "USES"}) & {f"n{i}" for i in range(40)})
+    for rows in (staging.DEALT, 2):
+        monkeypatch.setattr(staging, "DEALT", rows)
+        found = graph.entry_set(nodes, edges, "order")
+        assert sorted(r["id"] for r in found.collect()) == want
+    assert "REPARTITION_BY_NUM" in plan(found)
