@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path
-from ..plans.staging import staged
+from ..plans.staging import deal, few, staged
 from .alike import first_kept
 
 
@@ -21,19 +21,25 @@ def index_plan(changes: DataFrame, previous: DataFrame, most: int = 500) -> Data
     return out.unionByName(kept.orderBy("path").limit(most).select(F.lit("reusable").alias("role"), "path", none))
 
 
-def invalidation(changed: DataFrame, symbols: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 150) -> DataFrame:
+def invalidation(changed: DataFrame, symbols: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 150, repeats: bool = False) -> DataFrame:
     """One row: how many paths changed, the symbols they invalidate, the nodes and edges that stay, and the mode.
 
     changed (path), symbols (symbol_id, path), nodes (id, file_path), edges (source_id,
     target_id).  Edges stay where neither end lies in a changed path; ends that aren't
-    nodes, and nodes without a path, don't count as changed.
+    nodes, and nodes without a path, don't count as changed.  With ``repeats`` an edge that
+    repeats counts once; then only what is left moves for its target.  Edges and nodes are
+    counted first, so that tasks stay small.
     """
-    paths = changed.select("path").where("path is not null").distinct()
-    lost = nodes.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select("id").distinct()
+    paths = few(staged(changed.select("path").where("path is not null").distinct(), "paths"))
+    lost = staged(nodes.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select("id"), "lost")
+    dealt = deal(edges.select("source_id"), nodes.select("id"))
+    gone = lambda key: dealt(lost.withColumnRenamed("id", key), key)
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    kept = edges.join(lost.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(lost.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+    kept = dealt(edges, "source_id").join(gone("source_id"), "source_id", "left_anti")
+    kept = kept.distinct() if repeats else kept  # a source's edges lie together
+    kept = dealt(kept, "target_id").join(gone("target_id"), "target_id", "left_anti")
     out = one(paths, "changed").crossJoin(one(symbols.join(paths, "path", "left_semi").select("symbol_id").distinct(), "symbols"))  # one row each
-    out = out.crossJoin(one(nodes.join(lost, "id", "left_anti"), "nodes_kept")).crossJoin(one(kept, "edges_kept"))
+    out = out.crossJoin(one(dealt(nodes, "id").join(gone("id"), "id", "left_anti"), "nodes_kept")).crossJoin(one(kept, "edges_kept"))
     return out.withColumn("mode", F.when(F.col("changed").between(1, most), "partial-invalidation").otherwise("full-refresh"))
 
 

@@ -274,7 +274,7 @@ def _(spark, d):
 def _(spark, d):
     changed = t(spark, d, "orders").where("o_totalprice < 2000").select(F.col("o_orderstatus").alias("path")).unionByName(t(spark, d, "region").select(F.col("r_name").alias("path")))
     symbols = t(spark, d, "documents").select(F.col("doc_id").alias("symbol_id"), F.col("lang").alias("path"))
-    return refresh.invalidation(changed, symbols, graph_nodes(spark, d).withColumn("file_path", F.col("label")), graph_edges(spark, d))
+    return refresh.invalidation(changed, symbols, graph_nodes(spark, d).withColumn("file_path", F.col("label")), graph_edges(spark, d, repeats=True), repeats=True)
 
 
 @query("j20_relevant_facts", f"""

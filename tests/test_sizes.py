@@ -107,3 +107,16 @@ def test_tasks_around_nodes_stay_small(spark, monkeypatch):
         found = graph.entry_set(nodes, edges, "order")
         assert sorted(r["id"] for r in found.collect()) == want
     assert "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_invalidation_counts_repeated_edges_once(spark, monkeypatch):
+    from codeloom.operators import refresh
+
+    changed = spark.createDataFrame([("x",), ("x",), (None,)], "path string")
+    symbols = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "symbol_id int, path string")
+    nodes = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("d", None)], "id string, file_path string")
+    edges = spark.createDataFrame([("b", "c"), ("b", "c"), ("c", "d"), ("a", "b"), ("b", "a"), ("c", "e")], "source_id string, target_id string")
+    for rows in (staging.DEALT, 1):
+        monkeypatch.setattr(staging, "DEALT", rows)
+        for repeats, kept in ((True, 3), (False, 4)):
+            assert tuple(refresh.invalidation(changed, symbols, nodes, edges, repeats=repeats).first()) == (1, 1, 3, kept, "partial-invalidation")
