@@ -198,12 +198,16 @@ def deduplicate(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
 # A wide radius finds what is similar but also much that is not, so each pair found
 # is checked on its shingle sets.  Population counts rule nothing out at such a radius;
 # the sizes of the sets do, as a share of common shingles bounds their ratio.  Tiles
-# therefore hold sets of like sizes.  A task unites what it has found similar and
+# therefore hold sets of like sizes.  What is found by chance grows with the square of the
+# sets; nearly all of it is ruled out, exactly, by how many members each set has in each of
+# MARKS classes of hashes, before a text is read.  A task unites what it has found similar and
 # checks no pair that is united already, so a group of copies never turns into all
 # its pairs.
 
-#: A set in a tile: fingerprint, shingles, row, and where its text lies.
-_ENTRY = np.dtype([(k, "<u8" if k == "fp" else "<i8") for k in ("fp", "n", "row", "file", "at", "size", "raw")])
+#: Classes of hashes whose members are counted, in a byte each; a set with a count that doesn't fit has FULL in all.
+MARKS, FULL = 128, 255
+#: A set in a tile: fingerprint, shingles, row, where its text lies, and its counts.
+_ENTRY = np.dtype([*((k, "<u8" if k == "fp" else "<i8") for k in ("fp", "n", "row", "file", "at", "size", "raw")), ("marks", "u1", (MARKS,))])
 #: Bytes of shingle sets and number of open files that a comparing task keeps.
 CACHE, OPEN = 64 << 20, 32
 
@@ -218,9 +222,21 @@ def alike(a: int | np.ndarray, b: int | np.ndarray, common: int | np.ndarray, sh
     return common + 1e-9 >= share * (a + b - common)
 
 
+def marks_of(members: np.ndarray) -> np.ndarray:
+    """How many members of a set each class of hashes has; FULL in all where one has as many or more."""
+    counts = np.bincount((members & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS)
+    return np.full(MARKS, FULL, np.uint8) if counts.max() >= FULL else counts.astype(np.uint8)
+
+
+def most_common(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The most members that sets of such marks (a row each) and sizes can have in common."""
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return np.where((a[:, 0] == FULL) | (b[:, 0] == FULL), np.minimum(na, nb), most)
+
+
 def _set_prints(rows: DataFrame, store: str, width: int) -> DataFrame:
     """A row per document: fingerprint, size and digest of its shingle set, and where its text lies in ``store``."""
-    ddl = "row long, doc_id long, fp long, n long, digest long, file long, at long, size long, raw long"
+    ddl = "row long, doc_id long, fp long, n long, digest long, file long, at long, size long, raw long, marks binary"
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, codec, attempt, out = arrow_schema(ddl), pa.Codec("zstd"), TaskContext.get().taskAttemptId(), None
@@ -240,7 +256,8 @@ def _set_prints(rows: DataFrame, store: str, width: int) -> DataFrame:
                 out.write(packed)
             digest = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             columns = [batch.column(0), batch.column(1), fp.view(np.int64), [len(x) for x in sets], digest, [attempt] * len(texts), at, size, raw]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], schema=schema)
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([marks_of(x).tobytes() for x in sets], pa.binary())], schema=schema)
         if out:
             out.commit()
 
@@ -279,6 +296,7 @@ def similar_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int, share:
     base = 0 if same else len(a)
     label, out = np.arange(len(nodes)), []
     fa, fb, na, nb = (np.ascontiguousarray(x[k]) for k in ("fp", "n") for x in (a, b))
+    ma, mb = a["marks"], b["marks"]
     step = max(1, (1 << 17) // max(1, len(b)))
     for start in range(0, len(a), step):
         r, c = np.nonzero(np.bitwise_count(fa[start : start + step, None] ^ fb[None, :]) <= radius)
@@ -286,7 +304,9 @@ def similar_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int, share:
         fits = alike(na[r], nb[c], np.minimum(na[r], nb[c]), share)
         if same:
             fits &= r < c
-        r, c = r[fits], c[fits] + base
+        r, c = r[fits], c[fits]
+        some = alike(na[r], nb[c], most_common(ma[r], mb[c], na[r], nb[c]), share)
+        r, c = r[some], c[some] + base
         heads = np.flatnonzero(np.diff(r, prepend=-1))
         for x, y in zip(heads, [*heads[1:], len(r)]):
             i = r[x]
@@ -340,6 +360,9 @@ def similar_sets(sets: DataFrame, store: str, width: int, share: float, radius:
                 entries = batch.column(2)[i].values
                 data = np.empty(len(entries), _ENTRY)
                 for name in names:
+                    if name == "marks":
+                        data[name] = np.frombuffer(b"".join(entries.field(name).to_pylist()), np.uint8).reshape(-1, MARKS)
+                        continue
                     x = entries.field(name).to_numpy(zero_copy_only=False)
                     data[name] = x.view(np.uint64) if name == "fp" else x
                 write_once(f"{store}/tile-{batch.column(0)[i]}-{batch.column(1)[i]}", data.tobytes())
@@ -377,7 +400,7 @@ def drop_similar(docs: DataFrame, width: int = 5, share: float = 0.8, radius: in
     rows = numbered(docs)
     store = scratch(docs.sparkSession, "similar")
     prints = staged(_set_prints(rows, store, width), "set-prints")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "file", "at", "size", "raw")).alias("best")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "file", "at", "size", "raw", "marks")).alias("best")
     sets = staged(prints.groupBy("fp", "n", "digest").agg(best).select("fp", "n", "best.*"), "sets")
     links = staged(similar_sets(sets, store, width, share, radius), "links")
     released(docs.sparkSession, store, prints)

@@ -71,3 +71,22 @@ def test_stage_takes_large_groups_nulls_and_no_rows(spark):
     got = sorted((x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=repr)
     assert got == sorted([0, 900, 902, None], key=repr)
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_unlike_sets_are_ruled_out_unread():
+    import numpy as np
+    from codeloom.llm import simhash
+
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 90_000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n, replace=False)) for n in [200] * 30 + [40_000] * 3]
+    sets += [np.unique(np.concatenate([x[len(x) // 20 :], rng.choice(pool, len(x) // 20)])) for x in sets[::4]]
+    entries = np.zeros(len(sets), simhash._ENTRY)  # fingerprints are all alike here
+    for i, x in enumerate(sets):
+        entries[i]["n"], entries[i]["row"], entries[i]["marks"] = len(x), i, simhash.marks_of(x)
+    similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if simhash.alike(len(a), len(b), len(np.intersect1d(a, b)), 0.8)}
+    read = []
+    load = lambda e: (read.append(int(e["row"])), sets[int(e["row"])])[1]
+    links = simhash.similar_links(entries, entries, True, 18, 0.8, load)
+    assert len(similar) == 9 and {(max(x), min(x)) for x in links} == similar
+    assert len([i for i in read if len(sets[i]) < 1000]) == 2 * 8  # those of the similar pairs alone
